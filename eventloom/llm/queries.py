@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.decontaminate import find_contamination
+from eventloom.llm.quality import score_quality
 from eventloom.llm.simhash import near_duplicates
 
 
@@ -44,12 +45,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)"""
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", (F.col("longest_repeat") > 100).alias("long_repeat"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT r, k, size, count(*) OVER (PARTITION BY r, size, hash(x), x) AS n
+             FROM (SELECT r, k, size, array_to_string(w[k:k + size - 1], ' ') AS x FROM d, (VALUES (3), (10), (101)) s(size), range(1, len(w) + 1) t(k) WHERE k <= len(w) - size + 1)),
+     c AS (SELECT r, count(DISTINCT k + j) FILTER (size = 3) AS n3, count(DISTINCT k + j) FILTER (size = 10) AS n10, count(*) FILTER (size = 101) AS n101
+           FROM win, range(0, 10) t(j) WHERE n > 1 AND j < least(size, 10) GROUP BY r),
+     l AS (SELECT r, count(*) - count(DISTINCT x) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+     f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+                  coalesce(n3, 0) AS n_repeat_words, coalesce(n10, 0) AS covered_words, coalesce(n101, 0) > 0 AS long_repeat
+           FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.3 * n_words AND NOT long_repeat AS kept
+FROM f"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op4_quality": (op4_quality, OP4_SQL),
     "op7_simhash": (op7_simhash, None),
 }
 
