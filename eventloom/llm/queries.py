@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.decontaminate import find_contamination
 from eventloom.llm.quality import score_quality
 from eventloom.llm.simhash import near_duplicates
+from eventloom.llm.substrings import remove_repeats
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +71,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op4_quality": (op4_quality, OP4_SQL),
     "op7_simhash": (op7_simhash, None),
+    "op9_substrings": (op9_substrings, None),
 }
 
 
