@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.decontaminate import find_contamination
+from eventloom.llm.packing import pack
 from eventloom.llm.quality import score_quality
 from eventloom.llm.simhash import near_duplicates
 from eventloom.llm.substrings import remove_repeats
 
+#: Where the tokenizer files are; a parameter of every operator that tokenizes.
+def tokenizer_files() -> dict[str, str]:
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,6 +74,10 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM f"""
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), **tokenizer_files(), with_ids=False)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -85,6 +96,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op4_quality": (op4_quality, OP4_SQL),
+    "op5_packing": (op5_packing, None),
     "op7_simhash": (op7_simhash, None),
     "op9_substrings": (op9_substrings, None),
 }
