@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.decontaminate import find_contamination
 from eventloom.llm.packing import pack
+from eventloom.llm.pii import KINDS, find_pii
 from eventloom.llm.quality import score_quality
 from eventloom.llm.simhash import near_duplicates
 from eventloom.llm.substrings import remove_repeats
@@ -82,6 +83,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+    )
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -98,6 +111,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_quality": (op4_quality, OP4_SQL),
     "op5_packing": (op5_packing, None),
     "op7_simhash": (op7_simhash, None),
+    "op8_pii": (op8_pii, None),
     "op9_substrings": (op9_substrings, None),
 }
 
