@@ -3,7 +3,7 @@
 Suffixes are sampled: of each window of `length` bytes, the place whose k-byte gram hashes least is an anchor, so
 equal windows have equal anchors at equal offsets. An anchor's context is all bytes that windows around it reach.
 
-1. Anchors of a block of texts are combined (a context once for each block, at its smallest id), and dealt out by
+1. Anchors of some texts are combined in the task (a context once, at its smallest id), and dealt out by
    their gram. Where a context stands in a smaller document, all of it is covered there, and only the context's
    first document needs a closer look. It gets one where the gram has other contexts too.
 2. Contexts to look at are cut from the texts and meet by their gram. All windows in them are suffixes, put in
@@ -35,6 +35,8 @@ GRAM = 20
 SHALLOW = 32
 #: Contexts of a gram in a block, and in all, beyond which its windows are dealt out one by one.
 BLOCK_CONTEXTS, ALL_CONTEXTS = 32, 512
+#: Bytes of text that anchors are found in at once, and anchors that are combined at once.
+SCAN_BYTES, COMBINED = 1 << 20, 1 << 19
 
 _NONE = np.uint32(0xFFFFFFFF)
 MARKS = pa.schema([("doc_id", pa.int64()), ("kind", pa.int8()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -256,33 +258,30 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_here: np.ndarray = np.zeros(0, U64)
-        for part, texts in blocks(batches, "text"):
-            ids = part.column(0).to_numpy()
-            x = Anchors(texts, length, gram)
-            d = ids[x.doc]
-            o = np.lexsort((x.at, d, x.c, x.g))
-            g, c, d, at = x.g[o], x.c[o], d[o], x.at[o]
+        held: list[tuple[np.ndarray, ...]] = []
+        n_rows = size = 0
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            nonlocal hot_here
+            g, c, d, row, pos, lo, hi = (np.concatenate(a) for a in zip(*held))
+            held.clear()
+            o = np.lexsort((d, c, g))
+            g, c, d = g[o], c[o], d[o]
             new = _heads(g, c)
             heads = np.flatnonzero(new)
-            of = np.cumsum(new) - 1
-            later = d > d[heads][of]
-            # Contexts that a smaller document of the block has are covered.
-            if later.any():
-                lo, hi = x.lo[o][later], x.hi[o][later]
-                edge = np.bincount(lo, minlength=len(texts.buf) + 1) - np.bincount(hi, minlength=len(texts.buf) + 1)
-                inside = np.cumsum(edge[:-1]) > 0
-                both = runs(inside)
-                # A run may go on from one text to the next; it is cut there.
-                a = np.searchsorted(texts.off, both[:, 0], "right") - 1
-                b = np.searchsorted(texts.off, both[:, 1] - 1, "right") - 1
-                n = b - a + 1
-                doc = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                lo = np.maximum(np.repeat(both[:, 0], n), texts.off[doc]) - texts.off[doc]
-                hi = np.minimum(np.repeat(both[:, 1], n), texts.off[doc + 1]) - texts.off[doc]
-                full = hi > lo
-                yield _straight(parts, SPAN, ids[doc[full]], np.zeros(full.sum(), U64), lo[full], hi[full])
-            g, c, d, at = g[heads], c[heads], d[heads], at[heads]
-            pos = at - texts.off[np.searchsorted(texts.off, at, "right") - 1]
+            later = o[d > d[heads][np.cumsum(new) - 1]]
+            # Contexts that a smaller document has here are covered; what they cover of a text is united.
+            if len(later):
+                later.sort()  # back in the order of texts and places
+                r, a, b = row[later], lo[later], hi[later]
+                new = _heads(r)
+                new[1:] |= a[1:] > b[:-1]
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(r)) - 1
+                ids = np.empty(len(o), np.int64)
+                ids[o] = d
+                yield _straight(parts, SPAN, ids[later[first]], np.zeros(len(first), U64), a[first], b[last])
+            g, c, d, pos = g[heads], c[heads], d[heads], pos[o[heads]]
             # Grams with very many contexts in this task: all of them are looked at, and one record says so.
             new = _heads(g)
             many = np.bincount(np.cumsum(new) - 1) > BLOCK_CONTEXTS if len(g) else np.zeros(0, bool)
@@ -292,13 +291,24 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             if hot.any():
                 yield _straight(parts, REQUEST, d[hot], c[hot], pos[hot], np.ones(hot.sum(), np.int32))
             keys = np.concatenate((g[~hot], fresh))
-            table, short = np.unique(d[~hot], return_inverse=True)
-            del table
             none = np.full(len(fresh), -1, np.int64)
             out = _dealt(PACKED, parts, keys, [keys, np.concatenate((c[~hot], np.zeros(len(fresh), U64))), np.concatenate((d[~hot], none)), np.concatenate((pos[~hot], none)).astype(np.int32)])
             if out:
                 yield out
 
+        for part, texts in blocks(batches, "text", SCAN_BYTES):
+            x = Anchors(texts, length, gram)
+            begin = texts.off[x.doc]
+            held.append((x.g, x.c, part.column(0).to_numpy()[x.doc], (n_rows + x.doc).astype(np.int32), *((a - begin).astype(np.int32) for a in (x.at, x.lo, x.hi))))
+            n_rows += texts.n
+            size += len(x.at)
+            del x
+            if size >= COMBINED:
+                yield from combined()
+                size = 0
+        if held:
+            yield from combined()
+
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         straight, packed, _ = _gather(batches)
         yield from straight
@@ -337,7 +347,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     asked = rows.join(requests.hint("shuffle_hash"), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches, "text"):
+        for part, texts in blocks(batches, "text", SCAN_BYTES):
             ids = part.column(0).to_numpy()
             x = Anchors(texts, length, gram)
             begin, end = x.windows()
@@ -439,7 +449,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches, text):
+        for part, texts in blocks(batches, text, SCAN_BYTES):
             wanted = part.column(name)
             part = part.select([c for c in part.schema.names if c != name])
             n = np.nan_to_num(wanted.value_lengths().fill_null(0).to_numpy()).astype(np.int64)
