@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.decontaminate import find_contamination
+from eventloom.llm.licenses import scan_licenses
 from eventloom.llm.packing import pack
 from eventloom.llm.pii import KINDS, find_pii
 from eventloom.llm.quality import score_quality
@@ -106,6 +107,23 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read(spark, sf_dir, "documents"))
+    base = F.filter("licenses", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("licenses")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op4_quality": (op4_quality, OP4_SQL),
@@ -113,6 +131,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_simhash": (op7_simhash, None),
     "op8_pii": (op8_pii, None),
     "op9_substrings": (op9_substrings, None),
+    "op10_licenses": (op10_licenses, None),
 }
 
 
