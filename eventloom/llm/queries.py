@@ -14,6 +14,7 @@ from eventloom.llm.pii import KINDS, find_pii
 from eventloom.llm.quality import score_quality
 from eventloom.llm.simhash import near_duplicates
 from eventloom.llm.substrings import remove_repeats
+from eventloom.llm.toxicity import score_toxicity, train
 
 #: Where the tokenizer files are; a parameter of every operator that tokenizes.
 def tokenizer_files() -> dict[str, str]:
@@ -80,17 +81,28 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), **tokenizer_files(), with_ids=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def _counting(kind: str):
+    return lambda n, s: n + (s["kind"] == kind).cast("long")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.aggregate(base, F.lit(0).cast("long"), _counting(k)).alias(f"n_{k}") for k in KINDS),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
     )
@@ -128,6 +140,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op4_quality": (op4_quality, OP4_SQL),
     "op5_packing": (op5_packing, None),
+    "op6_toxicity": (op6_toxicity, None),
     "op7_simhash": (op7_simhash, None),
     "op8_pii": (op8_pii, None),
     "op9_substrings": (op9_substrings, None),
