@@ -43,22 +43,35 @@ MARKS = pa.schema([("doc_id", pa.int64()), ("kind", pa.int8()), ("c", pa.int64()
 _DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("blob", pa.binary())])
 _DEALT_SQL = "bucket int, kind byte, doc_id long, c long, lo int, hi int, blob binary"
 _MARKS_SQL = "doc_id long, kind byte, c long, lo int, hi int"
-#: Kinds of rows: covered bytes of a text; covered bytes around a context; a context to look at (hi: 1 if its gram is hot); packed arrays.
+#: Kinds of rows: covered bytes of a text; covered bytes around a context; a context to look at (hi: 1 if its gram is hot); packed arrays, of all and of hot grams.
+#: Grams are dealt out by 48 bits of their hashes: a clash only makes contexts be looked at in vain.
 SPAN, COVER, REQUEST, PACKED, PACKED_HOT = range(5)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes; signed longs as differences from their least, in as few bytes as these need."""
     out = []
     for a in arrays:
+        if a.dtype == np.int64:
+            least = int(a.min()) if len(a) else 0
+            a = (a - least).view(U64)
+            most = int(a.max()) if len(a) else 0
+            out.append(b"-" + np.int64(least).tobytes())
+            a = a.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else U64)
         out += [a.dtype.char.encode(), np.int64(len(a)).tobytes(), a.tobytes()]
     return b"".join(out)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, least = [], 0, None
     while at < len(blob):
+        if blob[at : at + 1] == b"-":
+            least, at = np.frombuffer(blob, np.int64, 1, at + 1)[0], at + 9
+            continue
         kind, n = np.dtype(blob[at : at + 1].decode()), int(np.frombuffer(blob, np.int64, 1, at + 1)[0])
-        out.append(np.frombuffer(blob, kind, n, at + 9))
+        a = np.frombuffer(blob, kind, n, at + 9)
+        out.append(a if least is None else a.astype(U64).view(np.int64) + least)
+        least = None
         at += 9 + n * kind.itemsize
     return out
 
@@ -263,7 +276,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
         def combined() -> Iterator[pa.RecordBatch]:
             nonlocal hot_here
-            g, c, d, row, pos, lo, hi = (np.concatenate(a) for a in zip(*held))
+            g, c, d, row, lo, hi = (np.concatenate(a) for a in zip(*held))
             held.clear()
             o = np.lexsort((d, c, g))
             g, c, d = g[o], c[o], d[o]
@@ -281,7 +294,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 ids = np.empty(len(o), np.int64)
                 ids[o] = d
                 yield _straight(parts, SPAN, ids[later[first]], np.zeros(len(first), U64), a[first], b[last])
-            g, c, d, pos = g[heads], c[heads], d[heads], pos[o[heads]]
+            g, c, d = g[heads], c[heads], d[heads]
             # Grams with very many contexts in this task: all of them are looked at, and one record says so.
             new = _heads(g)
             many = np.bincount(np.cumsum(new) - 1) > BLOCK_CONTEXTS if len(g) else np.zeros(0, bool)
@@ -289,17 +302,16 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             hot_here = np.union1d(hot_here, fresh)
             hot = np.isin(g, hot_here)
             if hot.any():
-                yield _straight(parts, REQUEST, d[hot], c[hot], pos[hot], np.ones(hot.sum(), np.int32))
-            keys = np.concatenate((g[~hot], fresh))
-            none = np.full(len(fresh), -1, np.int64)
-            out = _dealt(PACKED, parts, keys, [keys, np.concatenate((c[~hot], np.zeros(len(fresh), U64))), np.concatenate((d[~hot], none)), np.concatenate((pos[~hot], none)).astype(np.int32)])
-            if out:
-                yield out
+                yield _straight(parts, REQUEST, d[hot], c[hot], np.zeros(hot.sum()), np.ones(hot.sum()))
+            for kind, key, arrays in ((PACKED, g[~hot], [c[~hot], d[~hot]]), (PACKED_HOT, fresh, [])):
+                out = _dealt(kind, parts, key, [(key >> U64(16)).astype(np.uint32), key.astype(np.uint16), *arrays])
+                if out:
+                    yield out
 
         for part, texts in blocks(batches, "text", SCAN_BYTES):
             x = Anchors(texts, length, gram)
             begin = texts.off[x.doc]
-            held.append((x.g, x.c, part.column(0).to_numpy()[x.doc], (n_rows + x.doc).astype(np.int32), *((a - begin).astype(np.int32) for a in (x.at, x.lo, x.hi))))
+            held.append((x.g >> U64(16), x.c, part.column(0).to_numpy()[x.doc], (n_rows + x.doc).astype(np.int32), *((a - begin).astype(np.int32) for a in (x.lo, x.hi))))
             n_rows += texts.n
             size += len(x.at)
             del x
@@ -310,17 +322,16 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             yield from combined()
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        straight, packed, _ = _gather(batches)
+        straight, packed, says = _gather(batches)
         yield from straight
         if not packed:
             return
-        g, c, d, pos = (np.concatenate(a) for a in zip(*packed))
+        high, low, c, d = (np.concatenate(a) for a in zip(*packed))
         del packed
-        says = pos < 0
-        hot = np.unique(g[says])
-        g, c, d, pos = (a[~says] for a in (g, c, d, pos))
+        g = high.astype(U64) << U64(16) | low
+        hot = np.unique(np.concatenate([h.astype(U64) << U64(16) | low for h, low in says])) if says else g[:0]
         o = np.lexsort((d, c, g))
-        g, c, d, pos = g[o], c[o], d[o], pos[o]
+        g, c, d = g[o], c[o], d[o]
         new = _heads(g, c)
         heads = np.flatnonzero(new)
         if not len(heads):
@@ -330,14 +341,14 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             n = int(later.sum())
             # The same context of one document may come from several blocks only where rows are repeated.
             yield pa.RecordBatch.from_arrays(_rows(COVER, d[later], c[later], np.full(n, -reach), np.full(n, length)), schema=MARKS)
-        g, c, d, pos = g[heads], c[heads], d[heads], pos[heads]
+        g, c, d = g[heads], c[heads], d[heads]
         at = np.flatnonzero(_heads(g))
         size = np.diff(np.append(at, len(g)))
         is_hot = np.isin(g[at], hot) | (size > ALL_CONTEXTS)
         look = is_hot | ((size > 1) & (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)))
         look, is_hot = np.repeat(look, size), np.repeat(is_hot, size)
         if look.any():
-            yield pa.RecordBatch.from_arrays(_rows(REQUEST, d[look], c[look], pos[look], is_hot[look]), schema=MARKS)
+            yield pa.RecordBatch.from_arrays(_rows(REQUEST, d[look], c[look], np.zeros(look.sum()), is_hot[look]), schema=MARKS)
 
     first = materialize(_deal(rows.mapInArrow(anchored, _DEALT_SQL), parts).mapInArrow(grouped, _MARKS_SQL), "anchors")
     release_shuffles(spark)
