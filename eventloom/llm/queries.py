@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.chat import format_chats, read_back
 from eventloom.llm.decontaminate import find_contamination
+from eventloom.llm.html import main_text
 from eventloom.llm.licenses import scan_licenses
 from eventloom.llm.packing import pack
 from eventloom.llm.pii import KINDS, find_pii
@@ -77,6 +78,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM e GROUP BY conv_id"""
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", (F.col("longest_repeat") > 100).alias("long_repeat"))
@@ -160,6 +166,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_chat": (op2_chat, OP2_SQL),
+    "op3_html": (op3_html, None),
     "op4_quality": (op4_quality, OP4_SQL),
     "op5_packing": (op5_packing, None),
     "op6_toxicity": (op6_toxicity, None),
