@@ -199,14 +199,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """One row of docs of each component: that with the component's id; of several with one id, any one."""
+    """One row of docs of each component: that with the component's id; of several with one id, that whose text hashes least."""
     classes = near_duplicates(docs, doc_id, text, **kw)
-    name = free_name(docs, "component_id")
+    name, rank = free_name(docs, "kept_id"), free_name(docs, "rank")
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     stay = docs.join(kept, docs[doc_id].eqNullSafe(kept[name]), "left_semi")
-    rank = free_name(docs, "rank")
-    repeats = docs.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias(name))
-    single = stay.join(repeats, stay[doc_id].eqNullSafe(repeats[name]), "left_anti")
-    several = stay.join(repeats, stay[doc_id].eqNullSafe(repeats[name]), "left_semi")
-    first = several.withColumn(rank, F.row_number().over(W.partitionBy(doc_id).orderBy(F.xxhash64(text)))).where(F.col(rank) == 1).drop(rank)
-    return single.unionByName(first)
+    return stay.withColumn(rank, F.row_number().over(W.partitionBy(doc_id).orderBy(F.xxhash64(text)))).where(F.col(rank) == 1).drop(rank)
