@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import timeline
+from eventloom.plans import joins, timeline
 
 FLAGSHIP = "S-01_run_blocks"
-PLANS = (timeline,)
+PLANS = (timeline, joins)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,3 +39,49 @@ def pauses(blocks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         .where(F.col("after").isNotNull())
         .withColumn("pause_s", seconds_between(F.col("pause_end"), F.col("pause_start")))
     )
+
+
+def main_blocks(blocks: DataFrame, from_hour: int, to_hour: int) -> DataFrame:
+    """blocks with is_main and rank: the main block of a date overlaps the schedule most, then lasts longest, then is first.
+
+    The main block has rank 0; those before it count from 1, and those after it go on from there.
+    """
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    day = us(F.col("date").cast("timestamp"))
+    overlap = F.greatest(F.lit(0), F.least(us(F.col("end")), day + to_hour * 3_600_000_000) - F.greatest(us(F.col("start")), day + from_hour * 3_600_000_000))
+    first = F.row_number().over(W.partitionBy("date").orderBy(F.desc("overlap"), F.desc("duration_s"), "start"))
+    main = F.max(F.when(F.col("n") == 1, F.col("block"))).over(W.partitionBy("date"))
+    got = blocks.withColumn("overlap", overlap).withColumn("n", first).withColumn("main", main)
+    rank = F.when(F.col("block") == F.col("main"), 0).when(F.col("block") < F.col("main"), F.col("block")).otherwise(F.col("block") - 1)
+    return got.withColumn("is_main", F.col("block") == F.col("main")).withColumn("rank", rank.cast("long")).drop("overlap", "n", "main")
+
+
+def run_columns(rows: DataFrame, blocks: DataFrame, ts: str) -> DataFrame:
+    """rows with date, run_day, block, in_run, t_in_day and t_active.
+
+    A row's block is the latest of its date that has begun, else the date's first. t_in_day may be negative; t_active
+    is the active time of all blocks so far, and stands still between blocks. Blocks are few (some for each date) and
+    are numbered in one task; they are looked up by date, and rows are dealt out by date.
+    """
+    order = W.orderBy("start")
+    known = (
+        blocks.withColumn("before", F.coalesce(F.sum("duration_s").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+        .withColumn("run_day", F.dense_rank().over(W.orderBy("date")).cast("long"))
+    )
+    first = known.groupBy("date").agg(F.min(F.struct("start", "end", "block", "run_day", "before")).alias("f"))
+    from eventloom.operators.asof import asof
+
+    dated = rows.withColumn("date", F.to_date(ts))
+    got = asof(dated, known, ["date"], ts, "start", ["start", "end", "block", "run_day", "before"], prefix="b_").join(first, "date", "left")
+    # Before a date's first block the clock stands where the last block of an earlier date left it.
+    b = {c: F.coalesce(F.col(f"b_{c}"), F.col(f"f.{c}")) for c in ("start", "end", "block", "run_day", "before")}
+    t = F.col(ts)
+    active = F.when(F.col("b_start").isNotNull(), F.col("b_before") + seconds_between(F.least(t, F.col("b_end")), F.col("b_start"))).otherwise(F.col("f.before"))
+    return got.select(*dated.columns, b["run_day"].alias("run_day"), b["block"].alias("block"), ((t >= b["start"]) & (t <= b["end"])).alias("in_run"), seconds_between(t, b["start"]).alias("t_in_day"), active.alias("t_active"))
+
+
+def spells(rows: DataFrame, by: list[str], ts: str, state: str, tie: str) -> DataFrame:
+    """(by, state, start, end): a spell begins where the state is not that of the row before, and ends where the next begins."""
+    w = W.partitionBy(*by).orderBy(ts, tie)
+    fresh = rows.select(*by, ts, tie, F.col(state).alias("state"), F.lag(state).over(w).alias("last")).where(F.col("last").isNull() | (F.col("last") != F.col("state")))
+    return fresh.select(*by, "state", F.col(ts).alias("start"), F.lead(ts).over(w).alias("end"))
