@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import joins, timeline
+from eventloom.plans import joins, relational, timeline
 
 FLAGSHIP = "S-01_run_blocks"
-PLANS = (timeline, joins)
+PLANS = (timeline, joins, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
