@@ -36,6 +36,8 @@ MIN_SUPPORT, MIN_PRECISION, MIN_RATIO = 3, 0.93, 16.0
 SUSPECT_PRECISION, SUSPECT_RATIO = 0.4, 12.0
 #: Beginnings of words, in characters, and how many candidates are looked at.
 PREFIXES, MAX_STEMS, MAX_CANDIDATES = range(3, 9), 500, 20_000
+#: Stems that a task counts before it hands the counts on.
+COUNTED = 100_000
 
 # Words of the classes.
 INSULTS = "idiot idiots moron morons stupid pathetic worthless disgusting trash scum loser losers clown clowns imbecile cretin dimwit halfwit dumbass asshole bastard bitch scumbag vermin filthy dumb ugly coward garbage parasite subhuman".split()
@@ -213,12 +215,21 @@ def learn_stems(rows: DataFrame) -> tuple[list[str], list[str]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = wanted.value if wanted else None
             pos, neg = Counter(), Counter()
+
+            def counts() -> pa.RecordBatch:
+                names = list(pos.keys() | neg.keys())
+                out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[s] for s in names], pa.int64()), pa.array([neg[s] for s in names], pa.int64())], names=["stem", "pos", "neg"])
+                pos.clear()
+                neg.clear()
+                return out
+
             for part, texts in blocks(batches, "text"):
                 for y, words in zip(part.column(1).to_pylist(), _word_sets(part, texts)):
                     stems = stems_of(words)
                     (pos if y else neg).update(stems if held is None else stems & held)
-            names = list(pos.keys() | neg.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[s] for s in names], pa.int64()), pa.array([neg[s] for s in names], pa.int64())], names=["stem", "pos", "neg"])
+                    if len(pos) + len(neg) > COUNTED:
+                        yield counts()
+            yield counts()
 
         return run
 
