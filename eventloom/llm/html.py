@@ -294,7 +294,7 @@ def features(pages: list[Page]) -> np.ndarray:
 
 
 def decode(page: Page, odds: np.ndarray) -> list[str]:
-    """The text blocks of the best tree from the root."""
+    """The text blocks of the best tree from the root, which itself always stays."""
     n = len(page.parent)
     stay = -np.logaddexp(0, -odds)
     go = -np.logaddexp(0, odds)
@@ -304,15 +304,15 @@ def decode(page: Page, odds: np.ndarray) -> list[str]:
     best = [0.0] * n  # of the children so far
     for v in range(n - 1, -1, -1):
         out, kept = below[page.end[v]] - below[v], stay[v] + best[v]
-        keeps[v] = kept > out
+        keeps[v] = kept > out or not v
         if page.parent[v] >= 0:
             best[page.parent[v]] += max(kept, out)
     found, v = [], 0
     while v < n:
-        if not keeps[v] and v:
+        if not keeps[v]:
             v = page.end[v]
             continue
-        if page.text[v] is not None and keeps[v]:
+        if page.text[v] is not None:
             found.append(page.text[v])
         v += 1
     return found
