@@ -47,7 +47,7 @@ def exposure(events: DataFrame, by: str, t: str, kind: str, length: Column, beta
     return events.groupBy(F.col(kind).alias("j")).agg(*(F.sum(1 - F.exp(-b * rest)).alias(f"g{m}") for m, b in enumerate(betas)))
 
 
-def fit_em(t: np.ndarray, kind: np.ndarray, n_kinds: int, length: float, betas: np.ndarray, reach: float, tol: float = 1e-8, most: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_em(t: np.ndarray, kind: np.ndarray, n_kinds: int, length: float, betas: np.ndarray, reach: float, tol: float = 1e-7, most: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """(mu, alpha[i, j, m], log-likelihood) of one realization by expectation-maximization."""
     order = np.argsort(t, kind="stable")
     t, kind = t[order], kind[order]
@@ -62,22 +62,37 @@ def fit_em(t: np.ndarray, kind: np.ndarray, n_kinds: int, length: float, betas:
     np.add.at(g, kind, 1 - np.exp(-np.outer(np.minimum(reach, length - t), betas)))
     mu = np.bincount(kind, minlength=n_kinds) / max(length, 1e-9)
     alpha = np.full((n_kinds, n_kinds, m), 0.1 / (n_kinds * m))
-    mu = np.maximum(mu * 0.5, 1e-12)
-    old = -np.inf
     pair = kind[c] * n_kinds + kind[p]
-    for _ in range(most):
-        v = alpha.reshape(-1, m)[pair] * phi
+
+    def step(theta: np.ndarray) -> tuple[np.ndarray, float]:
+        """One update of expectation and maximization, and the log-likelihood before it."""
+        mu, alpha = theta[:n_kinds], theta[n_kinds:].reshape(-1, m)
+        v = alpha[pair] * phi
         lam = mu[kind] + np.bincount(c, v.sum(axis=1), n)
-        ll = float(np.log(lam).sum() - mu.sum() * length - (alpha * g[None]).sum())
+        ll = float(np.log(lam).sum() - mu.sum() * length - (alpha.reshape(n_kinds, n_kinds, m) * g[None]).sum())
+        r = v / lam[c][:, None]
+        s = np.stack([np.bincount(pair, r[:, k], n_kinds * n_kinds) for k in range(m)], axis=1)
+        new = s.reshape(n_kinds, n_kinds, m) / np.maximum(g[None], 1e-12)
+        return np.concatenate([np.maximum(np.bincount(kind, mu[kind] / lam, n_kinds) / length, 1e-12), np.maximum(new, 1e-12).ravel()]), ll
+
+    theta, old = np.concatenate([np.maximum(mu * 0.5, 1e-12), alpha.ravel()]), -np.inf
+    for _ in range(most):
+        one, ll = step(theta)
         if abs(ll - old) <= tol * max(1.0, abs(ll)):
             break
         old = ll
-        r = v / lam[c][:, None]
-        s = np.zeros((n_kinds * n_kinds, m))
-        for k in range(m):
-            s[:, k] = np.bincount(pair, r[:, k], n_kinds * n_kinds)
-        alpha = s.reshape(n_kinds, n_kinds, m) / np.maximum(g[None], 1e-12)
-        mu = np.maximum(np.bincount(kind, mu[kind] / lam, n_kinds) / length, 1e-12)
+        # Squared extrapolation; kept only if it is no worse than the plain steps.
+        two, ll_one = step(one)
+        r, v = one - theta, two - 2 * one + theta
+        norm = np.linalg.norm(v)
+        if norm < 1e-300:
+            theta = two
+            continue
+        far = min(-1.0, -np.linalg.norm(r) / norm)
+        leap = np.maximum(theta - 2 * far * r + far * far * v, 1e-3 * two)
+        after, ll_leap = step(leap)
+        theta = after if ll_leap >= ll_one else two
+    mu, alpha = theta[:n_kinds], theta[n_kinds:].reshape(n_kinds, n_kinds, m)
     return mu, alpha, old
 
 
@@ -91,7 +106,9 @@ def fit_windows(events: DataFrame, by: str, t: str, kind: str, n_kinds: int, len
         return pd.DataFrame({"by": [pdf["by"].iloc[0]], "n": [len(pdf)], "loglik": [ll], "rho": [float(np.abs(np.linalg.eigvals(n)).max())], "mu": [mu.tolist()]})
 
     rows = events.select(F.col(by).cast("long").alias("by"), F.col(t).cast("double").alias("t"), F.col(kind).cast("int").alias("k"))
-    return rows.groupBy("by").applyInPandas(run, "by long, n long, loglik double, rho double, mu array<double>")
+    # Fits are long for their rows, so they are dealt out whatever their bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(4 * parts, "by").groupBy("by").applyInPandas(run, "by long, n long, loglik double, rho double, mu array<double>")
 
 
 def simulate(rng: np.random.Generator, mu: np.ndarray, n: np.ndarray, beta: float, length: float, most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

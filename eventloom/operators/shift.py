@@ -27,15 +27,17 @@ def pelt(x: np.ndarray, penalty: float, least: int) -> list[int]:
     best[0] = -penalty
     back = np.zeros(n + 1, int)
     starts = np.array([0])
+    # A start that is no better than a segment's end, even without the penalty, is of no use to segments that
+    # could also begin at that end: those that end `least` later, or after.
+    until = np.full(n + 1, n + least + 1)
     for e in range(least, n + 1):
-        a = starts[starts <= e - least]
-        cost = best[a] + (q[e] - q[a]) - (s[e] - s[a]) ** 2 / (e - a)
+        starts = starts[until[starts] > e]
+        cost = best[starts] + (q[e] - q[starts]) - (s[e] - s[starts]) ** 2 / (e - starts)
         k = int(np.argmin(cost))
-        best[e], back[e] = cost[k] + penalty, a[k]
-        # A start that is no better now, even without the penalty, never will be.
-        keep = np.ones(len(starts), bool)
-        keep[np.searchsorted(starts, a)] = cost <= best[e]
-        starts = np.append(starts[keep], e - least + 1) if e - least + 1 > starts[-1] else starts[keep]
+        best[e], back[e] = cost[k] + penalty, starts[k]
+        worse = starts[cost > best[e]]
+        until[worse] = np.minimum(until[worse], e + least)
+        starts = np.append(starts, e - least + 1)
     out, e = [], n
     while e > 0 and back[e] > 0:
         e = int(back[e])
