@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import analysis, joins, relational, timeline
+from eventloom.plans import analysis, joins, relational, studies, timeline
 
 FLAGSHIP = "S-01_run_blocks"
-PLANS = (timeline, joins, relational, analysis)
+PLANS = (timeline, joins, relational, analysis, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
