@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,37 +31,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-# ---------------------------------------------------------------- tables in the shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='eventloom-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder, which outlives executors, and read it back.
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files removed that no live plan refers to any more.
 
-    The files go when the application ends.
+    Plans live as long as Python holds their proxies, and Spark's cleaner acts on what the JVM has collected.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask for the removal of shuffle files that no live plan refers to any more."""
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def free_name(df: DataFrame, name: str) -> str:

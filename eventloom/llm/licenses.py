@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, extended, materialize, word_windows
+from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, extended, word_windows
 from eventloom.llm.license_texts import PHRASES, TEMPLATES
+from eventloom.shared import materialize
 
 K = 3
 MAX_BROADCAST = 1 << 20

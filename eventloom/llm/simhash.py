@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import Texts, free_name, materialize, release_shuffles, with_columns
+from eventloom.llm.common import Texts, free_name, release_shuffles, with_columns
+from eventloom.shared import materialize
 
 SEED = 42
 

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import U64, Rolling, Texts, blocks, extended, free_name, materialize, mix, release_shuffles
+from eventloom.llm.common import U64, Rolling, Texts, blocks, extended, free_name, mix, release_shuffles
+from eventloom.shared import materialize
 
 GRAM = 20
 SHALLOW = 32

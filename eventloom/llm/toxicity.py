@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, materialize, with_columns
+from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, with_columns
+from eventloom.shared import materialize
 
 MAX_TRAIN = 20_000
 #: Of stems: least number of toxic texts, share of toxic ones among texts with it (and two more), and log-likelihood ratio against chance.
