@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import analysis, joins, relational, studies, timeline
+from eventloom.plans import analysis, joins, relational, studies, texts, timeline
 
 FLAGSHIP = "S-01_run_blocks"
-PLANS = (timeline, joins, relational, analysis, studies)
+PLANS = (timeline, joins, relational, analysis, studies, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

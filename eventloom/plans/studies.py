@@ -121,7 +121,7 @@ def _spell_units(s, d):
 
 
 def ag16(s, d):
-    u = _spell_units(s, d).withColumn("grp", F.floor(F.col("start") / 10))
+    u = _spell_units(s, d).withColumn("grp", F.floor(F.col("start") / 10).cast("int"))
     return survive.hazards(survive.risk_counts(u, ["grp"], "last", "lost"), ["grp"]).where("at_risk >= 5").select("grp", "g", F.round("hazard", R).alias("hazard"))
 
 
