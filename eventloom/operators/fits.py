@@ -1,0 +1,122 @@
+"""Small fits on aggregates: simplex search, beta-geometric lifetimes, logistic regression, kernel densities, alignment of lines."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+
+
+def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.5, tol: float = 1e-10, most: int = 2000) -> tuple[np.ndarray, float]:
+    """A minimum of f by the downhill simplex."""
+    n = len(x0)
+    pts = [np.array(x0, float)] + [np.array(x0, float) + step * np.eye(n)[i] for i in range(n)]
+    vals = [f(p) for p in pts]
+    for _ in range(most):
+        o = np.argsort(vals)
+        pts, vals = [pts[i] for i in o], [vals[i] for i in o]
+        if abs(vals[-1] - vals[0]) <= tol * (1 + abs(vals[0])):
+            break
+        mid = np.mean(pts[:-1], axis=0)
+        r = mid + (mid - pts[-1])
+        fr = f(r)
+        if fr < vals[0]:
+            e = mid + 2 * (mid - pts[-1])
+            fe = f(e)
+            pts[-1], vals[-1] = (e, fe) if fe < fr else (r, fr)
+        elif fr < vals[-2]:
+            pts[-1], vals[-1] = r, fr
+        else:
+            c = mid + 0.5 * ((r if fr < vals[-1] else pts[-1]) - mid)
+            fc = f(c)
+            if fc < min(fr, vals[-1]):
+                pts[-1], vals[-1] = c, fc
+            else:
+                pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
+                vals = [vals[0]] + [f(p) for p in pts[1:]]
+    return pts[0], vals[0]
+
+
+def beta_geometric(g: np.ndarray, at_risk: np.ndarray, lost: np.ndarray) -> tuple[float, float, float]:
+    """(a, b, log-likelihood) of hazards a / (a + b + g - 1), from risk sets."""
+
+    def negative(x: np.ndarray) -> float:
+        a, b = np.exp(np.clip(x, -8, 8))
+        h = a / (a + b + g - 1)
+        return float(-(lost * np.log(h) + (at_risk - lost) * np.log1p(-h)).sum())
+
+    x, v = nelder_mead(negative, np.zeros(2))
+    a, b = np.exp(np.clip(x, -8, 8))
+    return float(a), float(b), -v
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
+    """Weights (the last for a constant) by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w)), x.T @ (p - y) + l2 * w)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def kde(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Gaussian density of x on a grid, with Scott's bandwidth."""
+    h = max(float(x.std(ddof=1)) if len(x) > 1 else 1.0, 1e-3) * len(x) ** -0.2
+    return np.exp(-0.5 * ((grid[:, None] - x[None]) / h) ** 2).sum(axis=1) / (len(x) * h * math.sqrt(2 * math.pi))
+
+
+def chi2_tail(x: float, k: int) -> float:
+    """P(X > x) of a chi-square variable with k degrees, by the incomplete gamma function."""
+    a, z = k / 2, x / 2
+    if z <= 0:
+        return 1.0
+    if z < a + 1:
+        term = total = 1 / a
+        n = a
+        for _ in range(1000):
+            n += 1
+            term *= z / n
+            total += term
+            if term < total * 1e-15:
+                break
+        return 1 - total * math.exp(-z + a * math.log(z) - math.lgamma(a))
+    b, c, d = z + 1 - a, 1e300, 1 / (z + 1 - a)
+    h = d
+    for i in range(1, 1000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or 1e-300)
+        c = b + an / c or 1e-300
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * math.exp(-z + a * math.log(z) - math.lgamma(a))
+
+
+def align_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of lines that stand once in both, in the longest run that rises in both."""
+    once = lambda x: {line: i for i, line in enumerate(x) if x.count(line) == 1}
+    ua, ub = once(a), once(b)
+    pairs = sorted((ua[x], ub[x]) for x in ua.keys() & ub.keys())
+    best: list[int] = []
+    back = [-1] * len(pairs)
+    for i, (_, y) in enumerate(pairs):
+        lo, hi = 0, len(best)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if pairs[best[mid]][1] < y:
+                lo = mid + 1
+            else:
+                hi = mid
+        back[i] = best[lo - 1] if lo else -1
+        best[lo:lo + 1] = [i]
+    out, i = [], best[-1] if best else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = back[i]
+    return out[::-1]
