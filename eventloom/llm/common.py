@@ -96,7 +96,10 @@ def with_columns(df: DataFrame, text: str, fields: T.StructType, each: Callable[
     """df with columns computed from whole texts, a block at a time and without a shuffle.
 
     each: called once in every task, gives the function of a block. It must return the fields in their order.
+    Columns of df with the fields' names are replaced.
     """
+    new = {f.name.lower() for f in fields.fields} - {text.lower()}
+    df = df.drop(*(c for c in df.columns if c.lower() in new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = each()

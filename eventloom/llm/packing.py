@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import Texts, blocks, free_name
+from eventloom.llm.common import Texts, blocks
 
 SIZE = 1024
 GROUP_TOKENS = 1 << 20

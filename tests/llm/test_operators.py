@@ -475,6 +475,17 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == 153
 
 
+# ---------------------------------------------------------------- columns that are there already
+
+
+def test_columns_with_the_same_names(spark):
+    rows = spark.createDataFrame([(1, "a@b.cd", 5, "x", 7, 8)], "doc_id long, text string, PII int, removed string, bench_words int, score int")
+    assert pii.find_pii(rows).first()["pii"][0].kind == "email"
+    assert bytes(substrings.remove_repeats(rows).first()["kept"]) == b"a@b.cd" and substrings.remove_repeats(rows).first()["removed"] == "x"
+    assert find_contamination(rows, spark.createDataFrame([(1, "b cd")], "item_id long, text string")).first()["bench_items"] == ["1"]
+    assert toxicity.score_toxicity(rows, toxicity.Model([], [], toxicity.GIVEN)).first()["score"] < 0.5
+
+
 # ---------------------------------------------------------------- queries and the pipeline
 
 
