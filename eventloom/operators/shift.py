@@ -63,25 +63,32 @@ def segment_optimal(x: np.ndarray, penalty: float, least: int) -> list[int]:
     return out[::-1]
 
 
-def bocpd(x: np.ndarray, hazard: float, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0)) -> np.ndarray:
-    """The likeliest run length after each point, with a Normal-Gamma prior (mean, kappa, alpha, beta); it counts the point."""
-    m0, k0, a0, b0 = prior
-    m, k, a, b = (np.array([v]) for v in prior)
-    logp = np.zeros(1)
-    out = np.zeros(len(x), int)
-    lg = np.vectorize(math.lgamma)
+#: Prior of a segment's mean and precision: mean, kappa, alpha, beta.
+PRIOR = (0.0, 1.0, 1.0, 1.0)
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def bocpd_step(state: list[np.ndarray] | None, v: float, hazard: float) -> tuple[list[np.ndarray], int]:
+    """The posterior over run lengths (log-weights and Normal-Gamma values) after one more point, and the likeliest run length."""
+    logp, m, k, a, b = state if state is not None else [np.zeros(1), *(np.array([x]) for x in PRIOR)]
+    scale = b * (k + 1) / (a * k)
+    pred = _lgamma(a + 0.5) - _lgamma(a) - 0.5 * np.log(2 * a * math.pi * scale) - (a + 0.5) * np.log1p((v - m) ** 2 / (2 * a * scale))
+    joint = logp + pred
+    top = joint.max()
+    change = top + math.log(np.exp(joint - top).sum()) + math.log(hazard)
+    logp = np.concatenate(([change], joint + math.log1p(-hazard)))
+    logp -= logp.max() + math.log(np.exp(logp - logp.max()).sum())
+    b = np.concatenate(([PRIOR[3]], b + k * (v - m) ** 2 / (2 * (k + 1))))
+    m = np.concatenate(([PRIOR[0]], (k * m + v) / (k + 1)))
+    k, a = np.concatenate(([PRIOR[1]], k + 1)), np.concatenate(([PRIOR[2]], a + 0.5))
+    return [logp, m, k, a, b], int(np.argmax(logp[1:])) + 1
+
+
+def bocpd(x: np.ndarray, hazard: float) -> np.ndarray:
+    """The likeliest run length after each point; it counts the point."""
+    state, out = None, np.zeros(len(x), int)
     for i, v in enumerate(x):
-        scale = b * (k + 1) / (a * k)
-        pred = lg(a + 0.5) - lg(a) - 0.5 * np.log(2 * a * math.pi * scale) - (a + 0.5) * np.log1p((v - m) ** 2 / (2 * a * scale))
-        joint = logp + pred
-        top = joint.max()
-        change = top + math.log(np.exp(joint - top).sum()) + math.log(hazard)
-        logp = np.concatenate(([change], joint + math.log1p(-hazard)))
-        logp -= logp.max() + math.log(np.exp(logp - logp.max()).sum())
-        b = np.concatenate(([b0], b + k * (v - m) ** 2 / (2 * (k + 1))))
-        m = np.concatenate(([m0], (k * m + v) / (k + 1)))
-        k, a = np.concatenate(([k0], k + 1)), np.concatenate(([a0], a + 0.5))
-        out[i] = int(np.argmax(logp[1:])) + 1
+        state, out[i] = bocpd_step(state, float(v), hazard)
     return out
 
 

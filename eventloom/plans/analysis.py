@@ -439,6 +439,20 @@ def st04(s, d):
     return live.run_to_memory(live.stream_daily(_stream(s, d), "ts", ["event_type"]), f"daily_{uuid.uuid4().hex}")
 
 
+def st02(s, d):
+    """Online run lengths over a stream of daily counts."""
+    path = f"{shared_dir(s)}/daily-{uuid.uuid4().hex}"
+    _series(s, d).withColumn("x", F.col("x") / 50 - 1).coalesce(1).write.parquet(path)
+    stream = s.readStream.schema("series string, day int, x double").parquet(path)
+    return live.run_to_memory(live.stream_runs(stream, "series", "day", "x", 0.05), f"runs_{uuid.uuid4().hex}", "append")
+
+
+def st05(s, d):
+    e = _stream(s, d).withColumnRenamed("event_id", "id")
+    got = live.stream_candidates(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id"], "ts", 0, 21600)
+    return live.run_to_memory(got, f"pairs_{uuid.uuid4().hex}", "append")
+
+
 def _st01_sql():
     from eventloom.plans.timeline import BLOCKS_SQL
 
@@ -485,5 +499,7 @@ QUERIES = {
     "SRC-01_json_lines": (src01, "SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
     "SRC-06_counters": (src06, SRC06),
     "ST-01_stream_blocks": (st01, _st01_sql()),
+    "ST-02_stream_runs": (st02, None),
+    "ST-05_stream_candidates": (st05, "SELECT l.user_id, l.event_id AS lid, r.event_id AS rid, (epoch_us(r.ts) - epoch_us(l.ts)) / 1e6 AS dt FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'view' AND r.event_type = 'click' AND r.ts BETWEEN l.ts AND l.ts + INTERVAL 6 HOUR"),
     "ST-04_stream_daily": (st04, "SELECT event_type, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1, 2"),
 }

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators import shift
+
 
 def stream_blocks(events: DataFrame, ts: str, gap_s: int, by: list[str], late: str = "1 hour") -> DataFrame:
     """Run blocks of a stream: sessions with a gap, cut at dates; the end is the last row's time, not the session's.
@@ -27,3 +33,40 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def stream_candidates(left: DataFrame, right: DataFrame, by: list[str], ts: str, lo_s: float, hi_s: float, late: str = "1 hour") -> DataFrame:
+    """Pairs (by, lid, rid, dt) of two streams' rows of the same keys with lo_s <= right - left <= hi_s.
+
+    Both sides are kept no longer than the window and the lateness ask for.
+    """
+    a = left.select(*by, F.col("id").alias("lid"), F.col(ts).cast("timestamp").alias("lt")).withWatermark("lt", late)
+    b = right.select(*(F.col(k).alias(f"r_{k}") for k in by), F.col("id").alias("rid"), F.col(ts).cast("timestamp").alias("rt")).withWatermark("rt", late)
+    same = F.lit(True)
+    for k in by:
+        same = same & (F.col(k) == F.col(f"r_{k}"))
+    close = F.expr(f"rt >= lt + INTERVAL {lo_s} SECONDS AND rt <= lt + INTERVAL {hi_s} SECONDS")
+    return a.join(b, same & close).select(*by, "lid", "rid", ((F.unix_micros("rt") - F.unix_micros("lt")) / 1e6).alias("dt"))
+
+
+def stream_runs(points: DataFrame, by: str, order: str, x: str, hazard: float, most: int = 2000) -> DataFrame:
+    """(by, order, run): Bayesian online run lengths; the posterior of each series is state between batches.
+
+    Rows of a series come in order of batches, and are sorted within one. Run lengths beyond `most` are put together.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [np.array(v) for v in state.get] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("o")
+        at, lengths = held, []
+        for v in rows["x"].to_numpy(float):
+            at, length = shift.bocpd_step(at, float(v), hazard)
+            if len(at[0]) > most:
+                at = [a[:most] for a in at]
+            lengths.append(length)
+        state.update(tuple(a.tolist() for a in at))
+        yield pd.DataFrame({"by": key[0], "o": rows["o"].to_numpy(), "run": lengths})
+
+    rows = points.select(F.col(by).cast("string").alias("by"), F.col(order).cast("long").alias("o"), F.col(x).cast("double").alias("x"))
+    state = "logp array<double>, m array<double>, k array<double>, a array<double>, b array<double>"
+    return rows.groupBy("by").applyInPandasWithState(run, "by string, o long, run int", state, "append", "NoTimeout")

@@ -77,6 +77,18 @@ def test_online_run_lengths_fall_at_a_change():
     assert r[58] > 40 and r[70] < 15 and r[99] > 30
 
 
+def test_stream_state_gives_what_the_batch_gives(spark, tmp_path):
+    from eventloom.streaming import live
+
+    x = np.concatenate([np.random.default_rng(7).normal(0, 1, 25), np.random.default_rng(8).normal(5, 1, 15)])
+    path = f"{tmp_path}/in"
+    for part in (range(0, 18), range(18, 40)):  # two batches
+        spark.createDataFrame([("s", int(i), float(x[i])) for i in part], "series string, day int, x double").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("series string, day int, x double").option("maxFilesPerTrigger", 1).parquet(path)
+    got = live.run_to_memory(live.stream_runs(stream, "series", "day", "x", 0.05), "runs_test", "append").orderBy("o").collect()
+    assert [r.run for r in got] == shift.bocpd(x, 0.05).tolist()
+
+
 def test_excitation_is_recovered():
     rng = np.random.default_rng(4)
     mu, n = np.array([0.4, 0.2]), np.array([[0.5, 0.0], [0.3, 0.2]])
