@@ -18,8 +18,9 @@ from eventloom.llm.simhash import near_duplicates
 from eventloom.llm.substrings import remove_repeats
 from eventloom.llm.toxicity import score_toxicity, train
 
-#: Where the tokenizer files are; a parameter of every operator that tokenizes.
+
 def tokenizer_files() -> dict[str, str]:
+    """Where the tokenizer files are; a parameter of every operator that tokenizes."""
     import public_tokenizers
 
     return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
