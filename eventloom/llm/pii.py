@@ -157,7 +157,37 @@ SPOKEN_DIGITS = Transducer(_SPOKEN, _spoken)
 AT_AND_DOT = Transducer(_DISGUISED, _undisguised)
 CHAIN = (HOMOGLYPHS, SPOKEN_DIGITS, DIGIT_LETTERS, AT_AND_DOT)
 _LETTER_IN_NUMBER = re.compile(_INNER)
+#: "one" and "oh" are in many words: only two in a row count.
 _SPELLED = (b"zero", b"two", b"three", b"four", b"five", b"six", b"seven", b"eight", b"nine")
+_ONES = re.compile(rb"(?:one|oh)[ .,-]{1,2}(?:one|oh)")
+#: What case-blind patterns take for i and s.
+_ODD_CASE = ("İ".encode(), "ı".encode(), "ſ".encode())
+
+
+def may_rewrite(raw: bytes, digits: int, far: int) -> bool:
+    """Whether a transducer may accept something in a text; false only if none does, or identifiers stay as they are."""
+    low = raw.lower()
+    if far or b"dot" in low or any(w in low for w in _SPELLED) or any(w in raw for w in _ODD_CASE) or _ONES.search(low):
+        return True
+    brackets = b"[" in low or b"(" in low or b"{" in low or b"<" in low
+    if brackets and (b"@" in low or b"at" in low) or b" @" in low or b"@ " in low:
+        return True
+    # Each part of a number has a digit of its own, so four are the least: an IP's.
+    return digits >= 4 and _LETTER_IN_NUMBER.search(raw.decode()) is not None
+
+
+def rewritten(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """What is found only on the last tape, in places of t."""
+    tape = Tape(t)
+    for step in CHAIN:
+        tape = step(tape)
+    out = []
+    if tape.text != t:
+        for a, kind, b in identifiers(tape.text):
+            a, b = tape.begin[a], tape.end[b - 1]
+            if not any(k == kind and x <= a and b <= y for x, k, y in base):
+                out.append((a, kind, b, False))
+    return out
 
 
 def spans(raw: bytes, digits: int, far: int) -> list[tuple[int, int, int, bool]]:
@@ -165,23 +195,14 @@ def spans(raw: bytes, digits: int, far: int) -> list[tuple[int, int, int, bool]]
 
     far: how many bytes of characters there are that transducers may rewrite by themselves.
     """
-    low = raw.lower()
-    spelled = any(w in low for w in _SPELLED)
-    dots = b"dot" in low or (b"at" in low and (b"[" in low or b"(" in low or b"{" in low or b"<" in low))
-    if not (far or spelled or dots or digits >= 4 or b"@" in raw):
+    more = may_rewrite(raw, digits, far)
+    if not (more or digits >= 4 or b"@" in raw):
         return []
     t = raw.decode()
     base = identifiers(t, digits)
     out = [(*x, True) for x in base]
-    if far or spelled or dots or (digits >= 9 and _LETTER_IN_NUMBER.search(t)):
-        tape = Tape(t)
-        for step in CHAIN:
-            tape = step(tape)
-        if tape.text != t:
-            for a, kind, b in identifiers(tape.text):
-                a, b = tape.begin[a], tape.end[b - 1]
-                if not any(k == kind and x <= a and b <= y for x, k, y in base):
-                    out.append((a, kind, b, False))
+    if more:
+        out += rewritten(t, base)
     out.sort()
     return out
 
