@@ -38,6 +38,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template textarea select button iframe object svg canvas title head".split())
 RAW = frozenset("script style textarea title iframe noscript template svg".split())
+#: Of skipped ones, those whose end tag may be missing without all that follows being theirs (HTML reads on to the end in the others).
+LOOSE = frozenset("noscript template select button object svg canvas".split())
 CONTROLS = frozenset("input select textarea button label option".split())
 #: A start tag of these closes an open one of those.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -84,6 +86,17 @@ def _tokens(attrs: str) -> int:
                 mask |= 1 << k
     return mask
 
+def _ended(html: str, tag: str) -> set[int]:
+    """Where those start tags of an element stand that an end tag belongs to."""
+    out: set[int] = set()
+    open_: list[int] = []
+    for m in re.finditer(rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b.*?(?:</\1\b|\Z)|<(/?){tag}(?=[\s/>])((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>""", html, re.I | re.S):
+        if m[2] and open_:
+            out.add(open_.pop())
+        elif m[2] == "" and not m[3].endswith("/"):
+            open_.append(m.start())
+    return out
+
 
 class Page:
     """The nodes of a page, in page order. Text blocks have a text, elements None."""
@@ -124,6 +137,8 @@ class Page:
         n_links = 0
         link = -1  # how deep the open link stands, if there is one
         skip: list[str] = []
+        loose: list[bool] = []  # of each in skip, whether its end tag is missing
+        ended: dict[str, set[int]] = {}
         pos, size = 0, len(html)
 
         def flush() -> None:
@@ -143,6 +158,13 @@ class Page:
             if link > len(stack):
                 link = -1
 
+        def endless(tag: str, start: int) -> bool:
+            if tag not in LOOSE:
+                return False
+            if tag not in ended:
+                ended[tag] = _ended(html, tag)
+            return start not in ended[tag]
+
         while pos < size:
             m = _TOKEN.search(html, pos)
             start = m.start() if m else size
@@ -161,15 +183,23 @@ class Page:
                 continue
             tag = tag.lower()
             closing = (m[1] or m[4]) == "/"
+            if skip and loose[-1] and (any(t == tag for t, _ in stack[1:]) if closing else tag in GROUPS):
+                # What has no end tag ends where a block starts, or where what it stands in ends.
+                while skip and loose[-1]:
+                    skip.pop()
+                    loose.pop()
             if skip:
                 if tag in SKIPPED and tag not in VOID:
                     if closing:
                         if tag in skip:
                             del skip[len(skip) - 1 - skip[::-1].index(tag) :]
+                            del loose[len(skip) :]
                     elif not (m[3] or m[6] or "").endswith("/"):
                         skip.append(tag)
+                        loose.append(endless(tag, start))
                 elif tag == "body" or (not closing and skip == ["head"] and tag not in ("meta", "link", "base")):
                     skip.clear()  # a head that is not closed
+                    loose.clear()
                 else:
                     continue
                 if skip or closing or tag in SKIPPED:
@@ -191,7 +221,7 @@ class Page:
             attrs = m[3] or m[6] or ""
             if tag in CONTROLS:
                 self.controls[stack[-1][1]] += 1
-            if tag in RAW:
+            if tag in RAW and not (tag == "svg" and attrs.endswith("/")) and not endless(tag, start):
                 close_at = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, pos)
                 pos = close_at.end() if close_at else size
                 held.append(" ")
@@ -199,6 +229,7 @@ class Page:
             if tag in SKIPPED:
                 if not attrs.endswith("/"):
                     skip.append(tag)
+                    loose.append(endless(tag, start))
                 held.append(" ")
                 continue
             if tag in INLINE:
@@ -225,8 +256,7 @@ class Page:
             node = self._open(tag, stack[-1][1], _tokens(attrs) if attrs else 0)
             if not attrs.endswith("/"):
                 stack.append((tag, node))
-        if not skip:
-            flush()
+        flush()
         close(0)
 
 

@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from eventloom.llm import pii
+from eventloom.llm import html, pii
 from eventloom.llm.common import Texts
 
 
@@ -37,3 +37,21 @@ def test_pii_gate_equals_no_gate():
         assert got == want, t
         hidden += any(not s[3] for s in got)
     assert hidden > 500
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><article><p>one</p><svg class="icon"/><p>two</p><svg><path/></svg><p>three</p></article></body>', ["one", "two", "three"]),
+        ('<body><article><p>one</p><svg class="icon"/><p>two</p></article></body>', ["one", "two"]),
+        ("<article><p>before <button>Share<p>after</p></article>", ["before", "after"]),
+        ("<div><p>a</p><object data=x><p>b</p><object><p>no</p></object><p>c</p></div>", ["a", "b", "c"]),
+        ("<div>a <canvas></div>b", ["a", "b"]),
+        ("<div>a <select><option>no</div><div>b</div>", ["a", "b"]),
+        ("<p>a</p><template><b>no</b><p>b</p><svg><path><p>c</p>", ["a", "b", "c"]),
+        ("<div>kept <object data=x>", ["kept"]),
+        ("<p>a <button><div>no</div><!-- </button> --><p>no</p></button> b</p>", ["a b"]),
+    ],
+)
+def test_html_open_and_self_closed_elements(page, want):
+    assert [t for t in html.Page(page).text if t] == want
