@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ MAX_TRAIN = 20_000
 MIN_SUPPORT, MIN_PRECISION, MIN_RATIO = 3, 0.93, 16.0
 #: Of stems that only make a word suspect: several of these in a text are needed.
 SUSPECT_PRECISION, SUSPECT_RATIO = 0.4, 12.0
-#: Beginnings of words, in characters, and how many candidates are looked at.
-PREFIXES, MAX_STEMS, MAX_CANDIDATES = range(3, 9), 500, 20_000
+#: Beginnings of words, in characters.
+PREFIXES = range(3, 9)
 #: Stems that a task counts before it hands the counts on.
 COUNTED = 100_000
 
@@ -153,13 +154,7 @@ def features(texts: Texts, lexicon: Lexicon, grammar: Grammar, weights: np.ndarr
     for k in np.unique(clause).tolist():
         lo = int(np.searchsorted(w.start, ends[k - 1]))
         hi = int(np.searchsorted(w.start, ends[k])) if k < len(ends) else len(w.start)
-        # What is within reach of a match decides; a clause without end is read around its matches only.
-        if hi - lo > 400:
-            mine = cores[clause == k]
-            pieces = [(max(lo, i - 40), min(hi, i + 41)) for i in mine.tolist()]
-        else:
-            pieces = [(lo, hi)]
-        found = [m for a, b in pieces for m in grammar.matches([lexicon.of(w.text(i, i + 1)) for i in range(a, b)])]
+        found = grammar.matches([lexicon.of(w.text(i, i + 1)) for i in range(lo, hi)])
         if found:
             out[w.doc[lo], max((place[m] for m in found), key=lambda i: weights[i])] += 1
     return out
@@ -236,12 +231,14 @@ def learn_stems(rows: DataFrame) -> tuple[list[str], list[str]]:
 
     counts = "stem string, pos long, neg long"
     some = rows.where("y > 0").mapInArrow(counted(), counts).groupBy("stem").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= MIN_SUPPORT)
-    # Common beginnings are of no use; of the rest, those in most toxic texts come first.
-    names = {r.stem for r in some.where(F.col("pos") <= 0.6 * n_pos + 10).orderBy(F.desc("pos"), "stem").limit(MAX_CANDIDATES).collect()}
-    both = rows.mapInArrow(counted(sc.broadcast(names)), counts).groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = n_pos / n_all
+    # Common beginnings are of no use, nor is what would not tell enough if no other text had it. max_train rows bound the rest.
+    best = 2 * F.col("pos") * float(-np.log(rate))
+    names = {r.stem for r in some.where((F.col("pos") <= 0.6 * n_pos + 10) & (best >= min(MIN_RATIO, SUSPECT_RATIO) - 1e-6)).collect()}
+    both = rows.mapInArrow(counted(sc.broadcast(names)), counts).groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    share = F.col("pos") / (F.col("pos") + F.col("neg"))
     good = {}
-    for r in both.collect():
+    for r in both.where((share > rate) & (share >= min(MIN_PRECISION, SUSPECT_PRECISION))).collect():
         n, share = r.pos + r.neg, r.pos / max(1, r.pos + r.neg)
         if r.pos >= MIN_SUPPORT and share > rate:
             ratio = 2 * (r.pos * np.log(share / rate) + (r.neg * np.log((1 - share) / (1 - rate)) if r.neg else 0))
@@ -249,7 +246,7 @@ def learn_stems(rows: DataFrame) -> tuple[list[str], list[str]]:
                 good[r.stem] = (r.pos, r.neg, ratio)
     if not good:
         return [], []
-    names = sorted(good, key=lambda s: (-good[s][0], good[s][1], s))[:MAX_CANDIDATES]
+    names = sorted(good, key=lambda s: (-good[s][0], good[s][1], s))
     number = sc.broadcast({s: i for i, s in enumerate(names)})
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,13 +267,21 @@ def learn_stems(rows: DataFrame) -> tuple[list[str], list[str]]:
     def chosen(of: set[int]) -> list[str]:
         """Of equal stems the shortest, which is in most texts."""
         done, out = set(told), []
-        while of and len(out) < MAX_STEMS:
-            s = max(of, key=lambda s: (len(by[s] - done), -good[names[s]][1], -len(names[s]), names[s]))
-            if len(by[s] - done) < MIN_SUPPORT:
-                break
-            done |= by[s]
-            of = of - {s}
-            out.append(names[s])
+        order = sorted(of, key=lambda s: (-good[names[s]][1], -len(names[s]), names[s]), reverse=True)
+        # What a stem adds only falls: one whose place still holds when it comes up is the best.
+        heap = [(-len(by[s] - done), k, s) for k, s in enumerate(order)]
+        heapify(heap)
+        while heap:
+            was, k, s = heap[0]
+            adds = len(by[s] - done)
+            if adds < MIN_SUPPORT:
+                heappop(heap)
+            elif adds < -was:
+                heapreplace(heap, (-adds, k, s))
+            else:
+                heappop(heap)
+                done |= by[s]
+                out.append(names[s])
         return out
 
     sure = {s for s in by if good[names[s]][0] >= MIN_PRECISION * (sum(good[names[s]][:2]) + 2) and good[names[s]][2] >= MIN_RATIO and names[s] not in seeds}

@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from eventloom.llm import html, pii
+from eventloom.llm import html, pii, toxicity
 from eventloom.llm.common import Texts
 
 
@@ -55,3 +55,20 @@ def test_pii_gate_equals_no_gate():
 )
 def test_html_open_and_self_closed_elements(page, want):
     assert [t for t in html.Page(page).text if t] == want
+
+
+def test_toxicity_reads_long_clauses_whole():
+    words = [f"word{i}" for i in range(500)]
+    text = " ".join(["he", "said", *words, "you", "idiot", *words])
+    x = toxicity.features(Texts(pa.array([text])), toxicity.Lexicon([], []), toxicity.Grammar(), toxicity.GIVEN)
+    assert [m for m, n in zip(toxicity.MATCHES, x[0]) if n] == [("insult", True, "reported")]
+
+
+def test_toxicity_rare_stems_among_many(spark):
+    r = random.Random(3)
+    many = " ".join("".join(r.choice("abcdefghijklm") for _ in range(9)) for _ in range(8000))
+    toxic = [f"{many} {i}" for i in range(30)] + [f"zqxv {i}" for i in range(10)]
+    clean = [f"{many} clean {i}" for i in range(120)] + [f"plain {i}" for i in range(240)]
+    rows = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, y int")
+    stems, suspects = toxicity.learn_stems(rows)
+    assert any("zqxv".startswith(s.rstrip("$")) for s in stems + suspects)
