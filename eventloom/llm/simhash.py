@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,10 +199,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return made.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """One row of docs of each component: that with the component's id; of several with one id, that whose text hashes least."""
-    classes = near_duplicates(docs, doc_id, text, **kw)
-    name, rank = free_name(docs, "kept_id"), free_name(docs, "rank")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    stay = docs.join(kept, docs[doc_id].eqNullSafe(kept[name]), "left_semi")
-    return stay.withColumn(rank, F.row_number().over(W.partitionBy(doc_id).orderBy(F.xxhash64(text)))).where(F.col(rank) == 1).drop(rank)
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of docs of each component: that with the smallest id, null being the last; of several, that whose text hashes least.
+
+    Rows have keys of their own, written with the fingerprints, so rows without an id, or with one id, are told apart.
+    """
+    fp, row, code = free_name(docs, "fp"), free_name(docs, "row"), free_name(docs, "code")
+    made = fingerprints(docs, text, shingle, fp).withColumn(row, F.monotonically_increasing_id()).withColumn(code, F.xxhash64(text))
+    made = materialize(made, "fingerprints")
+    place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(code).alias("code"), F.col(row).alias("row"))
+    # The least of each fingerprint, then of each component: rows are combined before they are shuffled.
+    least = made.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("least"))
+    roots = components(links(made.select(F.col(fp).alias("fp")).distinct(), "fp", budget)).withColumnRenamed("node", "fp")
+    kept = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    return made.join(kept, row, "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from eventloom.llm import html, pii, toxicity
+from eventloom.llm import html, pii, simhash, toxicity
 from eventloom.llm.common import Texts
 
 
@@ -72,3 +72,11 @@ def test_toxicity_rare_stems_among_many(spark):
     rows = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, y int")
     stems, suspects = toxicity.learn_stems(rows)
     assert any("zqxv".startswith(s.rstrip("$")) for s in stems + suspects)
+
+
+def test_keep_one_tells_rows_apart(spark):
+    r = random.Random(5)
+    a, b, c, d, e = (" ".join(r.choice("abcdefghijklmnop") * 3 + str(r.randrange(99)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (1, e), (2, e), (None, e), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), x.text or "") for x in kept) == sorted([("None", a), ("None", b), ("7", c), ("7", d), ("1", e), ("None", "")])
