@@ -105,7 +105,9 @@ FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'view' A
 
 
 def jn14(s, d):
-    return greedy_match(jn13(s, d).select("lid", "rid", F.col("dt").alias("cost")))
+    """Of the first sixteen candidates of each view."""
+    pairs = window_candidates(_events(s, d, "view"), _events(s, d, "click"), ["user_id"], "event_id", "ts", "event_id", "ts", 0, 6 * 3600, 16)
+    return greedy_match(pairs.select("lid", "rid", F.col("dt").alias("cost")))
 
 
 def jn15(s, d):
