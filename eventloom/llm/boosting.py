@@ -14,6 +14,20 @@ class Trees:
         self.threshold: list[np.ndarray] = []
         self.leaf: list[np.ndarray] = []
 
+    def dump(self) -> dict:
+        """What load() takes, in JSON's types; numbers are kept exactly."""
+        lists = {k: [a.tolist() for a in getattr(self, k)] for k in ("feature", "leaf")}
+        cuts = [[None if np.isinf(t) else float(t) for t in a] for a in self.threshold]
+        return {"depth": self.depth, "base": self.base, "threshold": cuts, **lists}
+
+    @classmethod
+    def load(cls, held: dict) -> Trees:
+        out = cls(held["depth"], held["base"])
+        out.feature = [np.array(a, np.int64) for a in held["feature"]]
+        out.threshold = [np.array([np.inf if t is None else t for t in a], np.float32) for a in held["threshold"]]
+        out.leaf = [np.array(a) for a in held["leaf"]]
+        return out
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of each row."""
         out = np.full(len(x), self.base)

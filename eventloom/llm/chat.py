@@ -9,6 +9,8 @@ events are folded into final messages, which are rendered by a template as text
 - regenerate: a message's text is thrown away, and deltas start it anew; messages after it go too.
 - delete: a message goes.
 
+Events of any other kind, or of none, change nothing.
+
 The fold streams over a partition's sorted rows. Messages that no later event can mean are rendered as soon as
 they fill a piece of a bounded size, so a conversation of any length passes in bounded memory; from the first
 message with an id on, the messages of that conversation are held to its end. A conversation is rows (conv_id,
@@ -20,7 +22,7 @@ and backslashes are doubled; so no text holds a control string, and texts can be
 
 Null texts and roles are empty. A null conv_id is a conversation of its own. Rows with equal seq are in order of
 kind, role and text; a null seq comes first. Repeated message rows are messages each. Events that mean a message that isn't there
-open one (delta, edit, regenerate) or do nothing (delete).
+open one (delta, edit, regenerate) or do nothing (delete). Other columns of the log are left out.
 """
 
 from __future__ import annotations
@@ -34,10 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.llm.common import map_batches
+
 BEGIN = "<s>"
 #: What stands before and after a turn's text, by role; other roles are named in theirs.
 PARTS = {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "assistant": (" ", " </s>")}
 OTHER = ("[ROLE] ", " [TEXT] ", " [/ROLE]")
+KINDS = frozenset(("message", "delta", "edit", "regenerate", "delete"))
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[TEXT]", "[/ROLE]")
 _ESCAPE = re.compile("|".join([r"\\", *(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True))]))
 #: Code points of a piece, beyond which the next turn begins another.
@@ -97,6 +102,8 @@ class Fold:
         self.final = True
 
     def add(self, kind: str, message_id: str | None, role: str, text: str) -> None:
+        if kind not in KINDS:
+            return
         self.n += 1
         self.size += len(text)
         self.final &= message_id is None
@@ -119,8 +126,6 @@ class Fold:
             for k in keys[keys.index(key) + 1 :]:
                 del self.messages[k]
             held[1] = [text]
-        else:
-            raise ValueError(f"no such kind of event: {kind}")
 
     def pieces(self, most: int, end: bool) -> Iterator[tuple[int, str, list]]:
         """(part, text, mask) of what is held, which is then held no more."""
@@ -182,7 +187,7 @@ def format_chats(events: DataFrame, piece: int = PIECE) -> DataFrame:
         if out:
             yield batch()
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -221,4 +226,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state:
             yield batch([state])
 
-    return formatted.mapInArrow(run, T.StructType(fields))
+    return map_batches(formatted, run, T.StructType(fields))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Callable, Iterator
@@ -14,6 +15,10 @@ from pyspark.sql import types as T
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
+#: Rows of an Arrow batch. Texts are long, and the JVM and the worker each hold a batch whole.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 U64 = np.uint64
 
 
@@ -31,10 +36,47 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers are used again, and what one stage grew would stay."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) in bounded memory.
+
+    Where the session has Spark's own number of rows in an Arrow batch, it is set to BATCH_ROWS; a number that the
+    user has set stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == "10000":
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the columns that df reads, as Spark estimates them from the files; of tables without files none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 62)  # Spark's word for an unknown size is more than that
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files removed that no live plan refers to any more.
 
-    Plans live as long as Python holds their proxies, and Spark's cleaner acts on what the JVM has collected.
+    Plans live as long as Python holds their proxies, and Spark's cleaner acts on what the JVM has collected. It
+    never removes files of a shuffle that a stage could still ask for: what read them has been written to the
+    shared folder, and is read from there when a task is run again.
     """
     for _ in range(2):
         gc.collect()
@@ -96,17 +138,63 @@ def with_columns(df: DataFrame, text: str, fields: T.StructType, each: Callable[
     """df with columns computed from whole texts, a block at a time and without a shuffle.
 
     each: called once in every task, gives the function of a block. It must return the fields in their order.
-    Columns of df with the fields' names are replaced.
+    Names that df has already are lengthened, so no column of df is lost; the new ones are the last.
     """
-    new = {f.name.lower() for f in fields.fields} - {text.lower()}
-    df = df.drop(*(c for c in df.columns if c.lower() in new))
+    names: list[str] = []
+    for f in fields.fields:
+        name = free_name(df, f.name)
+        while name.lower() in {x.lower() for x in names}:
+            name += "_"
+        names.append(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = each()
         for part, texts in blocks(batches, text):
-            yield extended(part, of(texts))
+            yield extended(part, dict(zip(names, of(texts).values(), strict=True)))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields.fields]))
+    added = [T.StructField(name, f.dataType, f.nullable) for name, f in zip(names, fields.fields)]
+    return map_batches(df, run, T.StructType([*df.schema.fields, *added]))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... size of them, for each pair."""
+    size = size.astype(np.int64)
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def same_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of equal size at a and b hold the same bytes, for each pair."""
+    out = np.ones(len(a), bool)
+    step = 1 << 16  # pairs at once, to bound the indexes
+    for i in range(0, len(a), step):
+        n = size[i : i + step].astype(np.int64)
+        unlike = buf[ranges(a[i : i + step], n)] != buf[ranges(b[i : i + step], n)]
+        out[i + np.repeat(np.arange(len(n)), n)[unlike]] = False
+    return out
+
+
+def span_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each span, equal for spans of the same bytes and for no others.
+
+    Spans are grouped by hash and size, and each is compared with the first of its group byte for byte; where that
+    fails for any, all are told apart by their bytes.
+    """
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64)
+    size = end - start
+    order = np.lexsort((start, size, hashes))
+    new = np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]) | (size[order][1:] != size[order][:-1])))
+    heads = order[np.flatnonzero(new)]
+    group = np.cumsum(new) - 1
+    rest = np.flatnonzero(~new)
+    if not same_spans(buf, start[order[rest]], start[heads[group[rest]]], size[order[rest]]).all():
+        known: dict[bytes, int] = {}
+        return np.array([known.setdefault(buf[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+    ids = np.empty(n, np.int64)
+    ids[order] = group
+    return ids
 
 
 # ---------------------------------------------------------------- words
@@ -199,19 +287,16 @@ class Rolling:
         return mix((self.sum[size:] - self.sum[:n]) * self.down[:n])
 
 
-_STEP = U64(0xD6E8FEB86659FD93)
-
-
 def word_windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of size successive word hashes, by first word."""
+    """Hashes of size successive word hashes, by first word: each word's bits are turned by its place, and added up."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    h = words[:n].copy()
-    for k in range(1, size):
-        h *= _STEP
-        h += words[k : k + n]
-    return mix(h ^ U64(size))
+    total = np.full(n, size, U64)
+    for k in range(size):
+        turn, part = U64(11 * k % 64), words[k : k + n]
+        total += (part << turn) | (part >> (U64(64) - turn)) if turn else part
+    return mix(total)
 
 
 def strings(values: list, kind: pa.DataType | None = None) -> pa.Array:

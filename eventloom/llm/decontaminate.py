@@ -1,186 +1,208 @@
 """Benchmark decontamination: a broadcast hash set of benchmark word windows, scanned over all texts.
 
-Every window of n words of a benchmark item (a shorter item is one window) goes into a set, keyed by a
-rolling hash and holding the words themselves. Each task runs the same rolling hash over whole texts,
-verifies hits by comparing the words, and marks the words inside them. The set is broadcast in parts of a
-fixed most size; a larger benchmark makes more parts, and the texts flow through one after another.
+Every window of n words of a benchmark item (a shorter item is one window) goes into a set of arrays: the items'
+words, joined by spaces, and for each window its rolling hash, first word and item. Each task runs the same rolling
+hash over whole texts, verifies hits by comparing the words, and marks the words inside them.
+
+The set is broadcast in parts of at most PART_BYTES of text, which take about four times that in arrays. A benchmark
+of one part (any but very large ones) is one pass over the texts without a shuffle; of more, a pass for each, one
+after another, each written to the shared folder, so that one part is alive at a time, on the driver too.
 
 Null and empty texts have no words; null and empty items no windows. Repeated rows are treated alike, each
-on its own; rows of one item id together make that item. Items with a null id are left out.
+on its own; rows of one item id together make that item. Items with a null id are left out. Columns of docs that
+have the names of the new ones stay, and the new names are lengthened.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, extended, free_name, word_windows
+from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, extended, free_name, map_batches, ranges, word_windows
+from eventloom.shared import materialize
 
 #: Benchmark text in one broadcast part, in bytes.
 PART_BYTES = 16 << 20
-_BITS = 22
 
 
 class WindowSet:
-    """The word windows of some items: words joined by spaces -> numbers of items."""
+    """The word windows of some items' texts. Rows of one item must stand together."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, items: list[str], texts: list[str]):
         self.n = n
-        self.items: list[str] = []
-        self.windows: dict[bytes, list[int]] = {}
-        self.sizes: dict[int, set[bytes]] = {}
-
-    def add(self, item: str, text: str) -> None:
-        w = Words(Texts(pa.array([text])), ALNUM, lower=True)
-        count = len(w.start)
-        if not count:
-            return
-        k = len(self.items)
-        self.items.append(item)
-        size = min(self.n, count)
-        for i in range(count - size + 1):
-            key = w.text(i, i + size)
-            at = self.windows.setdefault(key, [])
-            if not at or at[-1] != k:
-                at.append(k)
-            self.sizes.setdefault(size, set()).add(key)
-
-    def index(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For each window size: the sorted hashes, and a bitmap of their low bits."""
-        out = []
-        for size, keys in sorted(self.sizes.items()):
-            w = Words(Texts(pa.array([k.decode() for k in sorted(keys)])), ALNUM)
-            hashes = np.unique(word_windows(Rolling(w.buf).spans(w.start, w.end), size)[w.first[:-1]])
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[hashes & np.uint64((1 << _BITS) - 1)] = True
-            out.append((size, hashes, bitmap))
-        return out
-
-    def scan(self, index: list, texts: Texts) -> tuple[Words, np.ndarray, list[set[int]]]:
+        w = Words(Texts(pa.array(texts, pa.string())), ALNUM, lower=True)
+        number = np.cumsum([0, *(a != b for a, b in zip(items, items[1:]))]) if items else np.zeros(0, np.int64)
+        self.items = [x for i, x in enumerate(items) if not i or items[i - 1] != x]
+        size = w.end - w.start
+        #: Where each word begins in the joined text.
+        self.begin = np.concatenate(([0], np.cumsum(size + 1)))
+        joined = np.full(int(self.begin[-1]), 32, np.uint8)
+        joined[ranges(self.begin[:-1], size)] = w.buf[ranges(w.start, size)]
+        self.text = joined.tobytes()
+        h = Rolling(w.buf).spans(w.start, w.end)
+        #: For each size of windows: their hashes, sorted, and the first word and the item of each.
+        self.sizes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in np.unique(np.minimum(w.counts[w.counts > 0], n)).tolist():
+            wh = word_windows(h, k)
+            at = np.flatnonzero(w.doc[: len(wh)] == w.doc[k - 1 :])
+            if k < n:
+                at = at[w.counts[w.doc[at]] == k]
+            at = at[np.argsort(wh[at], kind="stable")]
+            self.sizes.append((k, wh[at], at.astype(np.uint32), number[w.doc[at]].astype(np.uint32)))
+
+    def window(self, first: int, size: int) -> bytes:
+        return self.text[self.begin[first] : self.begin[first + size] - 1]
+
+
+class Scanner:
+    """Finds a set's windows in blocks of texts."""
+
+    def __init__(self, windows: WindowSet):
+        self.set = windows
+        self.low: list[np.ndarray] = []
+        for _, hashes, _, _ in windows.sizes:
+            bits = np.zeros(1 << min(22, max(12, (8 * len(hashes)).bit_length())), bool)
+            bits[hashes & np.uint64(len(bits) - 1)] = True
+            self.low.append(bits)
+        #: Windows that have been hit: (size, place of the hash) -> their words -> numbers of items.
+        self.known: dict[tuple[int, int], dict[bytes, set[int]]] = {}
+
+    def _items(self, k: int, lo: int, hi: int, words: bytes) -> set[int] | None:
+        size, _, first, item = self.set.sizes[k]
+        if (k, lo) not in self.known:
+            held = self.known[k, lo] = {}
+            for f, i in zip(first[lo:hi].tolist(), item[lo:hi].tolist()):
+                held.setdefault(self.set.window(f, size), set()).add(i)
+        return self.known[k, lo].get(words)
+
+    def scan(self, texts: Texts) -> tuple[Words, np.ndarray, list[set[int]]]:
         """The words of a block, which of them are hit, and the items found in each text."""
         w = Words(texts, ALNUM, lower=True)
         h = Rolling(w.buf).spans(w.start, w.end)
         edge = np.zeros(len(h) + 1, np.int64)
         found: list[set[int]] = [set() for _ in range(texts.n)]
-        for size, hashes, bitmap in index:
-            if len(h) < size:
-                continue
+        seen: set[tuple[int, int, bytes]] = set()
+        for k, (size, hashes, _, _) in enumerate(self.set.sizes):
             wh = word_windows(h, size)
-            at = np.flatnonzero(bitmap[wh & np.uint64((1 << _BITS) - 1)])
+            at = np.flatnonzero(self.low[k][wh & np.uint64(len(self.low[k]) - 1)])
             at = at[w.doc[at] == w.doc[at + size - 1]]
-            got = np.minimum(np.searchsorted(hashes, wh[at]), len(hashes) - 1)
-            for k in at[hashes[got] == wh[at]].tolist():
-                items = self.windows.get(w.text(k, k + size))
-                if items is not None:
-                    edge[k] += 1
-                    edge[k + size] -= 1
-                    found[w.doc[k]].update(items)
+            lo, hi = np.searchsorted(hashes, wh[at]), np.searchsorted(hashes, wh[at], "right")
+            hit = hi > lo
+            for i, a, b in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                words = w.text(i, i + size)
+                items = self._items(k, a, b, words)
+                if items is None:
+                    continue
+                edge[i] += 1
+                edge[i + size] -= 1
+                d = int(w.doc[i])
+                if (d, k, words) not in seen:
+                    seen.add((d, k, words))
+                    found[d] |= items
         return w, np.cumsum(edge[:-1]) > 0, found
 
 
 def _parts(benchmark: DataFrame, item: str, text: str, n: int, part_bytes: int) -> Iterator[WindowSet]:
     """The benchmark in sets of bounded size; rows of an item stand together, and never all rows are held at once."""
     rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).orderBy("i")
-    at, size, last = WindowSet(n), 0, None
+    items: list[str] = []
+    texts: list[str] = []
+    size = 0
     for i, t in rows.toLocalIterator():
-        if size >= part_bytes and i != last:
-            yield at
-            at, size = WindowSet(n), 0
-        if i == last and at.items and at.items[-1] == i:
-            more = WindowSet(n)
-            more.add(i, t)
-            k = len(at.items) - 1
-            for key in more.windows:
-                held = at.windows.setdefault(key, [])
-                if not held or held[-1] != k:
-                    held.append(k)
-            for s, keys in more.sizes.items():
-                at.sizes.setdefault(s, set()).update(keys)
-        else:
-            at.add(i, t)
-        size += len(t)
-        last = i
-    if at.items:
-        yield at
+        if size >= part_bytes:
+            yield WindowSet(n, items, texts)
+            items, texts, size = [], [], 0
+        items.append(i)
+        texts.append(t)
+        size += len(t.encode())
+    yield WindowSet(n, items, texts)
 
 
 RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+#: What becomes of a block: its rows, texts and words, and the runs and items of each text.
+Finish = Callable[[pa.RecordBatch, Texts, Words, list, list], pa.RecordBatch]
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 8, part_bytes: int = PART_BYTES) -> DataFrame:
-    """docs with bench_words (count), bench_runs (hit words as runs of word numbers, end exclusive) and bench_items (sorted ids as strings).
 
-    No shuffle: one pass over the texts for each part of the benchmark, in one job.
-    """
-    sc = docs.sparkSession.sparkContext
-    names = [free_name(docs, x) for x in ("bench_words", "bench_runs", "bench_items")]
-    added = T.StructType([T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(RUN)), T.StructField(names[2], T.ArrayType(T.StringType()))])
-    runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, n: int, part_bytes: int, names: list[str], finish: Finish, schema: T.StructType) -> DataFrame:
+    """docs after the passes of all parts; finish makes the rows of the last one."""
+    spark = docs.sparkSession
+    added = [T.StructField(names[0], T.ArrayType(RUN)), T.StructField(names[1], T.ArrayType(T.StringType()))]
 
-    def scanning(shared, first: bool):
+    def scanning(shared, first: bool, out: Finish):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = shared.value
-            index = windows.index()
+            scanner = Scanner(shared.value)
+            ids = shared.value.items
             for part, texts in blocks(batches, text):
-                w, hit, found = windows.scan(index, texts)
+                w, hit, found = scanner.scan(texts)
+                before = [None] * texts.n if first else part.column(names[0]).to_pylist()
+                held = [()] * texts.n if first else part.column(names[1]).to_pylist()
                 runs: list[list] = [[] for _ in range(texts.n)]
-                before = [None] * texts.n if first else part.column(names[1]).to_pylist()
-                held = [()] * texts.n if first else part.column(names[2]).to_pylist()
                 for d in {i for i, x in enumerate(found) if x} | {i for i, x in enumerate(before) if x}:
-                    a, b = int(w.first[d]), int(w.first[d + 1])
-                    mine = hit[a:b].copy()
+                    mine = hit[w.first[d] : w.first[d + 1]].copy()
                     for r in before[d] or ():
                         mine[r["start"] : r["end"]] = True
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
                     runs[d] = [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()]
-                items = [sorted({*old, *(windows.items[k] for k in x)}) for old, x in zip(held, found)]
-                plain = part if first else part.select([c for c in part.schema.names if c not in names])
-                yield extended(plain, {names[0]: pa.array(w.counts, pa.int64()), names[1]: pa.array(runs, runs_type), names[2]: pa.array(items, pa.list_(pa.string()))})
+                items = [sorted({*old, *(ids[k] for k in x)}) if old or x else [] for old, x in zip(held, found)]
+                yield out(part if first else part.select([c for c in part.schema.names if c not in names]), texts, w, runs, items)
 
         return run
 
-    schema = T.StructType([*docs.schema.fields, *added.fields])
-    out, first = docs, True
+    def kept(part: pa.RecordBatch, texts: Texts, w: Words, runs: list, items: list) -> pa.RecordBatch:
+        return extended(part, {names[0]: pa.array(runs, _RUNS), names[1]: pa.array(items, pa.list_(pa.string()))})
+
+    out, first, last = docs, True, None
     for windows in _parts(benchmark, item, item_text, n, part_bytes):
-        out = out.mapInArrow(scanning(sc.broadcast(windows), first), schema)
-        first = False
-    if first:  # no windows at all
-        out = out.mapInArrow(scanning(sc.broadcast(WindowSet(n)), True), schema)
-    return out
+        if last is not None:
+            shared = spark.sparkContext.broadcast(last)
+            out = materialize(map_batches(out, scanning(shared, first, kept), T.StructType([*docs.schema.fields, *added])), "windows")
+            shared.destroy()
+            first = False
+        last = windows
+    return map_batches(out, scanning(spark.sparkContext.broadcast(last), first, finish), schema)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 8, part_bytes: int = PART_BYTES) -> DataFrame:
+    """docs with bench_words (count), bench_runs (hit words as runs of word numbers, end exclusive) and bench_items (sorted ids as strings)."""
+    names = [free_name(docs, x) for x in ("bench_words", "bench_runs", "bench_items")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(RUN)), T.StructField(names[2], T.ArrayType(T.StringType()))])
+
+    def finish(part: pa.RecordBatch, texts: Texts, w: Words, runs: list, items: list) -> pa.RecordBatch:
+        return extended(part, {names[0]: pa.array(w.counts, pa.int64()), names[1]: pa.array(runs, _RUNS), names[2]: pa.array(items, pa.list_(pa.string()))})
+
+    return _scanned(docs, benchmark, text, item, item_text, n, part_bytes, names[1:], finish, schema)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_items: int = 2, **kw) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_items: int = 2, item: str = "item_id", item_text: str = "text", n: int = 8, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs without texts that hold windows of min_items items or more; hits in the others are cut out of their texts.
 
     A cut goes from the first to the last byte of a run of hit words. Clean texts stay as they are.
     """
-    marked = find_contamination(docs, benchmark, text, **kw)
-    runs, items = marked.columns[-2], marked.columns[-1]
-    kept = marked.where(F.size(items) < min_items)
-    names = docs.columns
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches, text):
-            spans = part.column(runs).to_pylist()
-            columns = [part.column(c) for c in names]
-            if any(spans):
-                w = Words(texts, ALNUM, lower=True)
-                out = columns[at].to_pylist()
-                for d, mine in enumerate(spans):
-                    if mine:
-                        raw, a, base = texts.bytes(d), int(w.first[d]), int(texts.off[d])
-                        pieces, last = [], 0
-                        for r in mine:
-                            pieces.append(raw[last : w.start[a + r["start"]] - base])
-                            last = w.end[a + r["end"] - 1] - base
-                        out[d] = b"".join([*pieces, raw[last:]]).decode()
-                columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return kept.mapInArrow(run, docs.schema)
+    names = [free_name(docs, x) for x in ("bench_runs", "bench_items")]
+    at = docs.columns.index(text)
+
+    def finish(part: pa.RecordBatch, texts: Texts, w: Words, runs: list, items: list) -> pa.RecordBatch:
+        stays = [len(x) < min_items for x in items]
+        if any(runs):
+            values = part.column(at).to_pylist()
+            for d, mine in enumerate(runs):
+                if mine and stays[d]:
+                    raw, a, base = texts.bytes(d), int(w.first[d]), int(texts.off[d])
+                    pieces, done = [], 0
+                    for r in mine:
+                        pieces.append(raw[done : w.start[a + r["start"]] - base])
+                        done = w.end[a + r["end"] - 1] - base
+                    values[d] = b"".join([*pieces, raw[done:]]).decode()
+            columns = list(part.columns)
+            columns[at] = pa.array(values, part.column(at).type)
+            part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        return part if all(stays) else part.filter(pa.array(stays))
+
+    return _scanned(docs, benchmark, text, item, item_text, n, part_bytes, names, finish, docs.schema)

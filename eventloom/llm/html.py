@@ -3,12 +3,14 @@
 Nodes are the block elements of a page and the text blocks between them, in page order, so a subtree is a range
 and its sums are differences of prefix sums. Features are densities of the subtree (words, links, paragraphs,
 punctuation, form controls), tokens of class, id and role on the node and above it, depth, siblings, and place. The
-trees are trained on made pages of many layouts, from a fixed seed, whose texts are alike in articles and around
-them; nothing is learned from the pages that are read.
+trees are trained on made pages of many layouts, with and without elements around the article, from a fixed seed;
+texts are alike in articles and around them, and nothing is learned from the pages that are read. `python -m
+eventloom.llm.html` trains them and writes the file that model() reads.
 
 Decoding is hierarchical: a node that goes takes all below it along, so what stays is a tree from the root, and
 the one with the greatest sum of log-probabilities is taken (a node's best is the better of "all of it goes" and
-"it stays, and each child its best"). Text blocks that stay are the page's text.
+"it stays, and each child its best"). Elements that by their name are never an article's (NEVER) always go, and so
+does a form that does not hold most of its page. Text blocks that stay are the page's text.
 
 Null and empty pages have an empty text. Nothing is dropped or cut inside a block that stays. A page's text depends
 on that page alone.
@@ -17,9 +19,11 @@ on that page alone.
 from __future__ import annotations
 
 import functools
+import json
 import random
 import re
 from html import unescape
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,8 @@ GROUPS = {
     for t in names.split()
 }
 N_GROUPS = 14
+#: Groups that never belong to an article: nav, footer, aside. Forms neither, unless most of the page is in one.
+NEVER, FORM = (7, 9, 10), 11
 # Tokens of class, id and role that tell what a part of a page is for.
 TOKENS = {
     t: k
@@ -58,7 +64,7 @@ TOKENS = {
         (
             "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs topbar",
             "header masthead banner branding logo site",
-            "footer foot bottom copyright legal colophon",
+            "footer foot bottom copyright legal colophon contentinfo",
             "sidebar side aside widget related recommended popular trending recent archive tags rail secondary complementary",
             "ad ads advert advertisement advertisements sponsor sponsored promo promotion promoted adsense banner outbrain taboola",
             "notice cookie cookies consent gdpr popup modal overlay alert warning dialog message announcement toast paywall",
@@ -319,6 +325,8 @@ def features(pages: list[Page]) -> np.ndarray:
         lg(subtree(column("controls"))), subtree(marks) / (w + 1), subtree(ends) / (k + 1e-9), subtree(telling) / (k + 1e-9), lg(k),
         before / (total + 1), lg(prior), lg(later), c / (c[up] + 1), lg(c[up]), lg(total),
         subtree((group == 1) & ~leaf) > 0, subtree((group == 1) & ~leaf)[first[:-1]][page] > 0,
+        lg(k)[first[:-1]][page], (subtree(column("links")) / (c + 1))[first[:-1]][page], subtree((group == 3) & leaf)[first[:-1]][page] > 0,
+        c / (np.maximum.reduceat(np.where(leaf, chars, 0), first[:-1])[page] + 1),
     ]
     return np.stack([np.asarray(x, np.float32) for x in columns], axis=1)
 
@@ -332,8 +340,12 @@ def decode(page: Page, odds: np.ndarray) -> list[str]:
     stay = stay.tolist()
     keeps = [False] * n
     best = [0.0] * n  # of the children so far
+    size = np.concatenate(([0], np.cumsum([len(t) if t else 0 for t in page.text]))).tolist()
     for v in range(n - 1, -1, -1):
         out, kept = below[page.end[v]] - below[v], stay[v] + best[v]
+        group = page.group[v]
+        if page.text[v] is None and (group in NEVER or (group == FORM and 2 * (size[page.end[v]] - size[v]) <= size[-1])):
+            kept = -np.inf
         keeps[v] = kept > out or not v
         if page.parent[v] >= 0:
             best[page.parent[v]] += max(kept, out)
@@ -476,25 +488,53 @@ class Maker:
         body = "".join(self.piece(plain) for _ in range(max(n, 1 if title else 2)))
         if self.r.random() < 0.3:
             body = self.block(self.some("div", "section"), body, "content", "body", "entry", "text", p=0.6)
-        end = self.maybe(0.15, self.share) + self.maybe(0.1, self.comments) + self.maybe(0.05, self.foot)
+        end = self.maybe(0.15, self.share) + self.maybe(0.1, self.comments) + self.maybe(0.05, self.foot) + self.maybe(0.04, self.nav) + self.maybe(0.03, self.side)
         return self.some(self.block("article", title + body + end, "post", "article", "entry", p=0.4), f"<article>{title}{body}{end}</article>", self.block("div", title + body + end, "content", "post", "article", "entry", "story", p=0.8), self.block("main", title + body + end, "content", p=0.3), self.block("section", title + body + end, "content", "story", p=0.5))
 
+    def bare(self) -> str:
+        """An article without an element of its own around it."""
+        r = self.r
+        n = int(12 ** r.random())
+        title = self.maybe(0.4, lambda: (lambda h: f"<{h}>{_IN}{self.say(1, 12)}</{h}>")(self.some("h1", "h1", "h2")))
+        short = r.random() < 0.3
+        say = lambda: self.say(1, 8 if short else 120)
+        kind = r.random()
+        if kind < 0.35:
+            body = "".join(f"<p>{_IN}{say()}" + self.some("</p>", "</p>", "") for _ in range(n))
+        elif kind < 0.55:
+            body = "".join(self.some(f"<div>{_IN}{say()}</div>", f"<div><span>{_IN}{say()}</span></div>") for _ in range(n))
+        elif kind < 0.75:
+            lines = self.some("<br>", "<br><br>", "<br/>\n").join(say() for _ in range(r.randint(1, 6)))
+            rest = "".join(self.some(f"<p>{_IN}{say()}<br>{say()}</p>", f"<p>{_IN}{say()}</p>") for _ in range(r.randint(0, 4)))
+            body = self.some(f"<p>{_IN}{lines}</p>", f"<div>{_IN}{lines}</div>", f"{_IN}{lines}") + rest
+        elif kind < 0.88:
+            cells = [f"<td>{self.links(2, 6)}</td>" if r.random() < 0.6 else "", f"<td>{title}" + "".join(f"<p>{_IN}{say()}</p>" for _ in range(n)) + "</td>", f"<td>{_OUT}{self.some('Home', self.say(1, 4))} {self.link('')} {self.link('')}</td>" if r.random() < 0.3 else ""]
+            title, body = "", "<table><tr>" + "".join(cells) + "</tr></table>"
+        else:
+            body = "".join(self.piece("p") for _ in range(n))
+        body = title + body
+        return self.some(body, body, f"<div>{body}</div>", f'<div class="{self.some("wrap", "row", "inner", "c12")}">{body}</div>')
+
     def page(self) -> str:
-        before = [f() for f, p in ((self.notice, 0.15), (self.head, 0.4), (self.nav, 0.6), (self.advert, 0.4), (self.form, 0.12), (self.side, 0.15), (self.share, 0.05)) if self.r.random() < p]
-        after = [f() for f, p in ((self.share, 0.12), (self.advert, 0.25), (self.comments, 0.35), (self.form, 0.15), (self.side, 0.3), (self.nav, 0.1), (self.notice, 0.1), (self.foot, 0.75)) if self.r.random() < p]
+        bare = self.r.random() < 0.3
+        often = self.some(0, 0, 0.3, 1) if bare else 1
+        before = [f() for f, p in ((self.notice, 0.15), (self.head, 0.4), (self.nav, 0.6), (self.advert, 0.4), (self.form, 0.12), (self.side, 0.15), (self.share, 0.05)) if self.r.random() < p * often]
+        after = [f() for f, p in ((self.share, 0.12), (self.advert, 0.25), (self.comments, 0.35), (self.form, 0.15), (self.side, 0.3), (self.nav, 0.1), (self.notice, 0.1), (self.foot, 0.75)) if self.r.random() < p * often]
         self.r.shuffle(before)
-        core = self.article() if self.r.random() < 0.97 else ""
-        if self.r.random() < 0.35:
+        core = self.bare() if bare else self.article() if self.r.random() < 0.97 else ""
+        if not bare and self.r.random() < 0.35:
             k = self.r.randint(0, len(after))
             core, after = self.block(self.some("div", "main", "section"), core + "".join(after[:k]), "main", "content", "wrapper", "page", p=0.6), after[k:]
+        if self.r.random() < 0.08:  # sites that put all of a page in one form
+            return self.some(f"<form>{''.join(before)}{core}{''.join(after)}</form>", f"{''.join(before)}<form>{core}</form>{''.join(after)}")
         return "".join(before) + core + "".join(after)
 
 
-N_PAGES = 700
+N_PAGES = 1000
+FILE = "main_text_trees.json"
 
 
-@functools.lru_cache(1)
-def model(n_pages: int = N_PAGES, seed: int = 20) -> boosting.Trees:
+def train(n_pages: int = N_PAGES, seed: int = 20) -> boosting.Trees:
     """Trees trained on made pages; a node is kept if an article's text is below it."""
     maker = Maker(seed)
     pages, labels = [], []
@@ -508,6 +548,15 @@ def model(n_pages: int = N_PAGES, seed: int = 20) -> boosting.Trees:
     return boosting.fit(features(pages), np.concatenate(labels).astype(float))
 
 
+@functools.lru_cache(1)
+def model() -> boosting.Trees:
+    """The trained trees, from the file beside this module; where that is missing they are trained again."""
+    try:
+        return boosting.Trees.load(json.loads(resources.files(__package__).joinpath(FILE).read_text()))
+    except FileNotFoundError:
+        return train()
+
+
 def extract(pages: list[str], trees: boosting.Trees) -> list[str]:
     """The main text of each page."""
     read = [Page(p) for p in pages]
@@ -535,3 +584,9 @@ def main_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataF
         return of
 
     return with_columns(pages, html, T.StructType([T.StructField(name, T.StringType())]), each)
+
+
+if __name__ == "__main__":
+    from pathlib import Path
+
+    Path(__file__).with_name(FILE).write_text(json.dumps(train().dump()) + "\n")

@@ -10,7 +10,8 @@ The templates' k-grams are joined by broadcast while there are at most MAX_BROAD
 Only matches are shuffled; texts are, once, where there are too many candidates to broadcast by Spark's own limit.
 
 Null and empty texts have no words, labels or places; their score is 0. Votes of repeated ids are put together, but
-every row's labels are verified on its own text.
+every row's labels are verified on its own text. Templates of fewer than k words are refused. Very long texts are
+scanned whole. Other columns of the table are left out, so no names clash.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, extended, word_windows
+from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, extended, map_batches, word_windows
 from eventloom.llm.license_texts import PHRASES, TEMPLATES
 from eventloom.shared import materialize
 
@@ -40,8 +41,10 @@ def _words(text: str) -> list[bytes]:
 
 
 def template_grams(templates: list[tuple[str, str]], k: int) -> list[tuple[int, int, int]]:
-    """(hash, template, place) of all k-grams of the templates."""
+    """(hash, template, place) of all k-grams of the templates, of which each must have one."""
     w = Words(Texts(pa.array([t for _, t in templates])), ALNUM, lower=True)
+    if templates and w.counts.min() < k:
+        raise ValueError(f"a template of fewer than {k} words has no {k}-gram to be found by: {templates[int(w.counts.argmin())][0]}")
     h = word_windows(Rolling(w.buf).spans(w.start, w.end), k).view(np.int64)
     return [(int(x), int(d), int(i - w.first[d])) for i, (x, d) in enumerate(zip(h, w.doc)) if w.doc[i + k - 1] == d]
 
@@ -58,7 +61,7 @@ def grams(docs: DataFrame, k: int) -> DataFrame:
             ids = part.column(0).take(pa.array(d))
             yield pa.RecordBatch.from_arrays([ids, pa.array((at - w.first[d]).astype(np.int32)), pa.array(h[at].view(np.int64))], names=["doc_id", "place", "h"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("place", T.IntegerType()), T.StructField("h", T.LongType())]))
+    return map_batches(docs, run, T.StructType([docs.schema["doc_id"], T.StructField("place", T.IntegerType()), T.StructField("h", T.LongType())]))
 
 
 def candidates(docs: DataFrame, templates: list[tuple[str, str]], k: int = K, neighbours: int = NEIGHBOURS, min_votes: float = MIN_VOTES) -> DataFrame:
@@ -143,4 +146,4 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
                 x.sort(key=lambda s: (s["start"], s["end"], s["label"], s["base"]))
             yield extended(part.select(["doc_id"]), {"n_words": pa.array(w.counts, pa.int64()), "licenses": pa.array(spans, _SPANS)})
 
-    return joined.mapInArrow(run, schema)
+    return map_batches(joined, run, schema)

@@ -13,6 +13,7 @@ exactly one piece. Sequence ids hold the partition's number, so a task that is r
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import Texts, blocks
+from eventloom.llm.common import Texts, blocks, map_batches
 
 SIZE = 1024
 GROUP_TOKENS = 1 << 20
@@ -32,10 +33,11 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 512
 END = 0
 
 
+@functools.lru_cache(2)
 def encoder(vocabulary: str, ranks: str | None, pattern: str | None) -> Callable[[Texts], Iterator[np.ndarray]]:
-    """Ids of each text of a block by the tokenizer in the file vocabulary.
+    """Ids of each text of a block by the tokenizer in the file vocabulary. Made once a worker.
 
-    ranks: the same vocabulary as ranks, for texts on whose characters both libraries agree (below U+0250, and no
+    ranks: the same vocabulary as ranks, for texts on whose characters both libraries agree (below U+0280, and no
     special token inside); these are most texts, and encoded several times as fast.
     """
     from tokenizers import Tokenizer
@@ -177,4 +179,4 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
         if rows:
             yield batch(rows)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, T.StructType(fields))
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, T.StructType(fields))

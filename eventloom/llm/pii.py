@@ -6,12 +6,15 @@ words; "at" and "dot" in brackets or words. Identifiers found on the last tape a
 characters. They are added where no span of the same kind found on the text itself holds them.
 
 Spans count code points, end exclusive. Null and empty texts have none. A text's spans depend on that text alone.
+Every pattern starts only where nothing before it could have started it, and disguised addresses are read outwards
+from their "at", so the time is in proportion to a text's length, however long it is.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from eventloom.llm.common import Texts, blocks, with_columns
+from eventloom.llm.common import Texts, blocks, map_batches, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: As they are after the @; what stands before it is found from there.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: From the first digit of a row: what fails there fails at the row's other digits too.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -76,21 +80,27 @@ class Tape:
 
 
 class Transducer:
-    """Reads the longest input that its pattern accepts, writes output for it, and copies what lies between."""
+    """Reads the longest inputs that it accepts, writes output for them, and copies what lies between."""
 
-    def __init__(self, accepts: str, writes: Callable[[re.Match], str | None]):
-        self.accepts, self.writes = re.compile(accepts), writes
+    def __init__(self, accepts: str | Callable[[str], Iterator[tuple[int, int, str]]], writes: Callable[[re.Match], str | None] | None = None):
+        """accepts: a pattern, with what it writes for a match (or None); or what gives (start, end, output) from left to right."""
+        self.accepts, self.writes = re.compile(accepts) if isinstance(accepts, str) else accepts, writes
+
+    def read(self, text: str) -> Iterator[tuple[int, int, str]]:
+        if not self.writes:
+            yield from self.accepts(text)
+            return
+        for m in self.accepts.finditer(text):
+            new = self.writes(m)
+            if new is not None:
+                yield *m.span(), new
 
     def __call__(self, tape: Tape) -> Tape:
         out: list[str] = []
         begin: list[int] = []
         end: list[int] = []
         last = 0
-        for m in self.accepts.finditer(tape.text):
-            new = self.writes(m)
-            if new is None:
-                continue
-            a, b = m.span()
+        for a, b, new in self.read(tape.text):
             out += [tape.text[last:a], new]
             begin += tape.begin[last:a] + [tape.begin[a]] * len(new)
             end += tape.end[last:a] + [tape.end[b - 1]] * len(new)
@@ -132,20 +142,43 @@ def _spoken(m: re.Match) -> str:
     return "".join("+" if w == "plus" else _WORDS[w] for w in re.findall(rf"plus|{_ANY}", m.group().lower()))
 
 
-_TOKEN = r"[A-Za-z0-9_%+-]+"
-_AT = r"(?: *[\[({<] *at *[\])}>] *| +at +| *@ *)"
+_CORE = re.compile(r"(?i)[\[({<] *at *[\])}>]|at|@")
+_TOKEN = r"[A-Za-z0-9_%+-]++"
 _DOT = r"(?: *[\[({<] *(?:dot|\.) *[\])}>] *| +dot +|\.)"
-_DISGUISED = rf"(?i)(?<![A-Za-z0-9_%+-]){_TOKEN}(?:{_DOT}{_TOKEN})*{_AT}{_TOKEN}(?:{_DOT}{_TOKEN})+"
-_WORDED_AT, _WORDED_DOT = re.compile(r"(?i) +at +"), re.compile(r"(?i) +dot +")
-
-
-def _undisguised(m: re.Match) -> str | None:
-    s = m.group()
-    # A worded "at" alone is prose: the dots must be in disguise as well.
-    if _WORDED_AT.search(s) and not _WORDED_DOT.search(s) and not re.search(r"(?i)[\[({<] *dot", s):
-        return None
-    s = re.sub(rf"(?i){_AT}", "@", s, count=1)
-    return re.sub(rf"(?i){_DOT}", ".", s)
+#: What comes before an "at", read from its end; and what comes after.
+_BEFORE = re.compile(rf"(?i){_TOKEN}(?:(?: *[\])}}>] *(?:tod|\.) *[\[({{<] *| +tod +|\.){_TOKEN})*+")
+_AFTER = re.compile(rf"(?i){_TOKEN}(?:{_DOT}{_TOKEN})++")
+_DOTS = re.compile(rf"(?i){_DOT}")
+_DISGUISED_DOT = re.compile(r"(?i) dot |[\[({<] *dot")
+
+
+def addresses(t: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, as it is meant) of the addresses with disguised or plain "at" and dots, from left to right."""
+    done = 0
+    for m in _CORE.finditer(t):
+        a, b = m.span()
+        if a < done:
+            continue
+        word = m.group() not in "@" and m.group()[0] not in "[({<"
+        while a > done and t[a - 1] == " ":
+            a -= 1
+        while b < len(t) and t[b] == " ":
+            b += 1
+        if word and (a == m.start() or b == m.end()):
+            continue  # "at" is a word of its own only between spaces
+        after = _AFTER.match(t, b)
+        if not after:
+            continue
+        before = _BEFORE.match(t[done:a][::-1])
+        if not before:
+            continue
+        start, end = a - before.end(), after.end()
+        done = end
+        left, right = t[start:a], after.group()
+        # A worded "at" alone is prose: the dots must be in disguise as well.
+        if word and not _DISGUISED_DOT.search(left + " @ " + right):
+            continue
+        yield start, end, _DOTS.sub(".", left) + "@" + _DOTS.sub(".", right)
 
 
 #: A lone letter that looks like a digit, between digits.
@@ -154,7 +187,7 @@ _INNER = r"(?<=[0-9][ -])[OoIl](?=[0-9])|(?<=[0-9])[OoIl](?=[ -]?[0-9])"
 HOMOGLYPHS = Transducer(rf"[{_NO_WIDTH}Ͱ-\U0010ffff]+", _plain)
 DIGIT_LETTERS = Transducer(_INNER, lambda m: "0" if m.group() in "Oo" else "1")
 SPOKEN_DIGITS = Transducer(_SPOKEN, _spoken)
-AT_AND_DOT = Transducer(_DISGUISED, _undisguised)
+AT_AND_DOT = Transducer(addresses)
 CHAIN = (HOMOGLYPHS, SPOKEN_DIGITS, DIGIT_LETTERS, AT_AND_DOT)
 _LETTER_IN_NUMBER = re.compile(_INNER)
 #: "one" and "oh" are in many words: only two in a row count.
@@ -183,9 +216,12 @@ def rewritten(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         tape = step(tape)
     out = []
     if tape.text != t:
+        # Spans of one kind never overlap, so only the last that begins no later can hold a place.
+        held = [sorted((x, y) for x, k, y in base if k == kind) for kind in range(len(KINDS))]
         for a, kind, b in identifiers(tape.text):
             a, b = tape.begin[a], tape.end[b - 1]
-            if not any(k == kind and x <= a and b <= y for x, k, y in base):
+            i = bisect_right(held[kind], (a, len(t) + 1)) - 1
+            if i < 0 or held[kind][i][1] < b:
                 out.append((a, kind, b, False))
     return out
 
@@ -259,5 +295,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns[at] = pa.array(values, part.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 

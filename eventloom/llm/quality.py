@@ -1,13 +1,15 @@
 """Quality rules: counts of a text's words, symbols and repeated lines, and repetition by a suffix array.
 
-The suffix array of each text is built over its words (a word's rank is its hash, which orders words well enough
-for finding repeats) by prefix doubling, many texts at once; groups that are already apart are not sorted again.
-Common prefixes of neighbours come from the ranks of each doubling. A place whose longest common prefix with a
-neighbour has min_repeat words or more starts a repeated substring; it is maximal if it does not only continue
-the one before it. The spans of all maximal repeats are united, and two limits are put on them: the fraction of
+The suffix array of each text is built over numbers of its words (equal for equal bytes, and for no others: hashes
+are compared byte for byte) by prefix doubling, many texts at once; groups that are already apart are not sorted
+again. Common prefixes of neighbours come from the ranks of each doubling. A stack over these prefixes finds the
+intervals of the suffix array that share a prefix of min_repeat words or more; an interval whose places are not all
+preceded by one word is a maximal repeated substring. Its spans are those of the places that no deeper interval
+holds, which lie inside that one's. The spans of all are united, and two limits are put on them: the fraction of
 words that they cover, and the length of the longest.
 
-Null and empty texts have no words, and fail the base rule. A text's figures depend on that text alone.
+Null and empty texts have no words, and fail the base rule. A text's figures depend on that text alone; very long
+texts are measured whole. Columns of docs that have the names of the new ones stay, and the new names are lengthened.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import SOLID, Rolling, Texts, Words, _table, mix, with_columns
+from eventloom.llm.common import SOLID, Rolling, Texts, Words, _table, free_name, span_ids, with_columns
 
 SYMBOLS = _table(b"#*$%&|<>")
 MIN_REPEAT = 10
@@ -29,10 +31,10 @@ MAX_LONGEST = 100
 def suffix_ranks(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The suffix array of the texts in ids, and for each k the ranks by the first 2**k words.
 
-    Texts never share a rank. Each array of ranks has one more place, for the end.
+    ids are numbers of words below 2**32. Texts never share a rank. Each array of ranks has one more place, for the end.
     """
     n = len(ids)
-    key = mix(ids + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = (doc << 32) | ids
     order = np.argsort(key)
     s = key[order]
     heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -68,23 +70,53 @@ def suffix_ranks(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.
     return sa, levels
 
 
-def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each place, the most words from there that also stand elsewhere in its text."""
+def common_prefixes(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and of each of its places the words in common with the one before."""
     n = len(ids)
     sa, levels = suffix_ranks(ids, doc)
-    longest = np.zeros(n, np.int64)
+    lcp = np.zeros(n, np.int64)
     at = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]]) if n else np.zeros(0, np.int64)
     a, b = sa[at].copy(), sa[at + 1].copy() if len(at) else sa[at].copy()
-    lcp = np.zeros(len(at), np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        same = levels[k][a] == levels[k][b]
-        step = same.astype(np.int64) << k
+        step = (levels[k][a] == levels[k][b]).astype(np.int64) << k
         a += step
         b += step
-        lcp += step
-    np.maximum.at(longest, sa[at], lcp)
-    np.maximum.at(longest, sa[at + 1] if len(at) else sa[at], lcp)
-    return longest
+        lcp[at + 1] += step
+    return sa, lcp
+
+
+def maximal_repeats(ids: np.ndarray, doc: np.ndarray, sa: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the spans of maximal repeats of at least so many words: of each start those of its deepest interval."""
+    deep = np.flatnonzero(lcp >= least)
+    if not len(deep):
+        return deep, deep
+    # The word before each place; a text's first place has one of its own.
+    before = np.where((sa > 0) & (doc[sa - 1] == doc[sa]), ids[sa - 1], -1 - sa)
+    turns = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+    places: list[int] = []
+    sizes: list[int] = []
+    cuts = np.flatnonzero(np.diff(deep) > 1) + 1
+    for run in np.split(deep, cuts):
+        common = [*lcp[run].tolist(), 0]
+        # Open intervals: words in common, first place, and the places for which they are the deepest.
+        stack: list[tuple[int, int, list[int]]] = []
+        was = 0
+        for k, i in enumerate(range(int(run[0]), int(run[-1]) + 2)):
+            x, first = common[k], i - 1
+            while stack and stack[-1][0] > x:
+                size, first, own = stack.pop()
+                if turns[i - 1] > turns[first]:
+                    places += own
+                    sizes += [size] * len(own)
+            if x:
+                if not stack or stack[-1][0] < x:
+                    stack.append((x, first, []))
+                if x > was:
+                    stack[-1][2].append(i - 1)
+                if x >= common[k + 1]:
+                    stack[-1][2].append(i)
+            was = x
+    return sa[np.array(places, np.int64)], np.array(sizes, np.int64)
 
 
 def covered(n: int, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -109,7 +141,10 @@ def measure(texts: Texts, min_repeat: int = MIN_REPEAT) -> dict[str, pa.Array]:
     w = Words(texts, SOLID)
     buf, off, n = texts.buf, texts.off, len(w.start)
     roll = Rolling(buf)
-    longest = longest_repeats(roll.spans(w.start, w.end), w.doc)
+    ids = span_ids(buf, w.start, w.end, roll.spans(w.start, w.end))
+    sa, lcp = common_prefixes(ids, w.doc)
+    longest = np.zeros(n, np.int64)
+    longest[sa] = np.maximum(lcp, np.append(lcp[1:], 0)) if n else lcp
     # Lines with a word, and those of them that are not the first of their kind.
     cut = np.flatnonzero(buf == 10)
     a = np.sort(np.concatenate((off[:-1], cut + 1)), kind="stable")
@@ -119,14 +154,10 @@ def measure(texts: Texts, min_repeat: int = MIN_REPEAT) -> dict[str, pa.Array]:
     b = np.where((b > a) & (b > 0) & (np.append(buf, 0)[np.maximum(b - 1, 0)] == 10), b - 1, b)
     has = np.searchsorted(w.start, b) > np.searchsorted(w.start, a)
     a, b, in_doc = a[has], b[has], in_doc[has]
-    key = mix(roll.spans(a, b) + in_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = (in_doc << 32) | span_ids(buf, a, b, roll.spans(a, b))
     _, firsts = np.unique(key, return_index=True)
     dup = np.bincount(in_doc, minlength=texts.n) - np.bincount(in_doc[firsts], minlength=texts.n)
-    # Maximal repeats: places that do not only go on with the repeat of the place before.
-    before = np.concatenate(([0], longest[:-1]))
-    before[w.first[:-1][w.counts > 0]] = 0
-    begin = np.flatnonzero((longest >= min_repeat) & (longest >= before))
-    inside = covered(n, begin, longest[begin])
+    inside = covered(n, *maximal_repeats(ids, w.doc, sa, lcp, min_repeat))
     most = np.zeros(texts.n, np.int64)
     np.maximum.at(most, w.doc, longest)
     spans: list[list] = [[] for _ in range(texts.n)]
@@ -140,11 +171,9 @@ def measure(texts: Texts, min_repeat: int = MIN_REPEAT) -> dict[str, pa.Array]:
 
 
 def score_quality(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """docs with the figures, base_failed, and kept: false if the base rule or a limit on repeats fails.
-
-    Columns of docs with these names are replaced.
-    """
-    docs = docs.drop(*(f.name for f in FIELDS.fields), "base_failed", "kept")
+    """docs with the figures, base_failed, and kept: false if the base rule or a limit on repeats fails."""
     got = with_columns(docs, text, FIELDS, lambda: lambda texts: measure(texts, min_repeat))
-    got = got.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return got.withColumn("kept", ~F.col("base_failed") & (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest))
+    of = dict(zip(FIELDS.names, (F.col(c) for c in got.columns[len(docs.columns) :])))
+    failed, kept = free_name(got, "base_failed"), free_name(got, "kept")
+    got = got.withColumn(failed, (of["n_words"] < 50) | (100 * of["n_repeat_words"] > 50 * of["n_words"]))
+    return got.withColumn(kept, ~F.col(failed) & (of["covered_words"] <= max_covered * of["n_words"]) & (of["longest_repeat"] <= max_longest))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import Texts, free_name, release_shuffles, with_columns
+from eventloom.llm.common import Texts, free_name, map_batches, release_shuffles, with_columns
 from eventloom.shared import materialize
 
 SEED = 42
@@ -161,7 +161,7 @@ def links(distinct: DataFrame, fp: str, budget: int) -> DataFrame:
         if held and len(held[0]):
             yield from joined(*held)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return map_batches(dealt, run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

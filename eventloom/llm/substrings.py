@@ -13,9 +13,14 @@ equal windows have equal anchors at equal offsets. An anchor's context is all by
 3. Documents join what is covered in them, find their anchors again, and the covered bytes go.
 
 A gram with many contexts (a passage or line in very many documents) is not dealt out by itself: its windows are
-dealt out by their own hashes, after each block has combined equal ones, so no gram fills a task.
+dealt out by their own hashes, after each block has combined equal ones, so no gram fills a task. Records are dealt
+to parts whose number grows with the input's bytes, so the share of a task does not.
 
-Null and empty texts have no bytes. Rows with a null id keep all their bytes and remove none elsewhere. Repeated
+Whole contexts (at most 2 * length - gram + 1 bytes) that agree in 112 bits of hash are taken as equal, and so are
+windows of hot grams that agree in 96: comparing their bytes would send each text several times over. At 10^12
+contexts the chance of one wrong match is below 10^-9 and 10^-4.
+
+Ids are whole numbers, for the order of documents. Null and empty texts have no bytes. Rows with a null id keep all their bytes and remove none elsewhere. Repeated
 rows of one id do not remove from each other. Matches never cross documents, and are judged on the input.
 """
 
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import U64, Rolling, Texts, blocks, extended, free_name, mix, release_shuffles
+from eventloom.llm.common import U64, Rolling, Texts, blocks, extended, free_name, input_bytes, map_batches, mix, ranges, release_shuffles
 from eventloom.shared import materialize
 
 GRAM = 20
@@ -38,6 +43,8 @@ SHALLOW = 32
 BLOCK_CONTEXTS, ALL_CONTEXTS = 32, 512
 #: Bytes of text that anchors are found in at once, and anchors that are combined at once.
 SCAN_BYTES, COMBINED = 1 << 20, 1 << 19
+#: Bytes of stored input for each part that records are dealt out to, so that a task holds a bounded share of any input.
+PART_BYTES = 16 << 20
 
 _NONE = np.uint32(0xFFFFFFFF)
 MARKS = pa.schema([("doc_id", pa.int64()), ("kind", pa.int8()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -266,7 +273,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """(doc_id, marks) for documents with bytes to remove; marks are (c, lo, hi): bytes lo to hi of the text where c is
     null, else of the places with context c, counted from the anchor."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PART_BYTES)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     reach = length - gram
 
@@ -351,7 +358,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         if look.any():
             yield pa.RecordBatch.from_arrays(_rows(REQUEST, d[look], c[look], np.zeros(look.sum()), is_hot[look]), schema=MARKS)
 
-    first = materialize(_deal(rows.mapInArrow(anchored, _DEALT_SQL), parts).mapInArrow(grouped, _MARKS_SQL), "anchors")
+    first = materialize(map_batches(_deal(map_batches(rows, anchored, _DEALT_SQL), parts), grouped, _MARKS_SQL), "anchors")
     release_shuffles(spark)
 
     # The texts of documents with contexts to look at. The small side of the join is hashed, so texts are not sorted.
@@ -383,7 +390,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 bucket = (mix(x.g[cold]) % U64(parts)).astype(np.int64)
                 o = np.argsort(bucket, kind="stable")
                 cold, a, b, bucket = cold[o], a[o], b[o], bucket[o]
-                raw = _ranges(a, b - a)
+                raw = ranges(a, b - a)
                 ends = np.concatenate(([0], np.cumsum(b - a)))
                 at = np.append(np.flatnonzero(_heads(bucket)), len(bucket)).tolist()
                 d, c, t = ids[x.doc[cold]], x.c[cold], (a - x.at[cold]).astype(np.int32)
@@ -391,7 +398,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 yield _packed(PACKED, bucket[at[:-1]], [pack(d[i:j], c[i:j], t[i:j], size[i:j], raw[ends[i] : ends[j]]) for i, j in zip(at, at[1:])])
             if len(warm):
                 size = end[warm] - begin[warm]
-                j = _ranges(begin[warm], size)
+                j = ranges(begin[warm], size)
                 who = np.repeat(warm, size)
                 d, c, t = ids[x.doc[who]], x.c[who], (j - x.at[who]).astype(np.int32)
                 h, h2 = x.roll.spans(j, j + length), x.roll.spans(j, j + length // 2).astype(np.uint32)
@@ -413,7 +420,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             del packed
             n = size.astype(np.int64) - length + 1
             begin = np.concatenate(([0], np.cumsum(size[:-1], dtype=np.int64)))
-            start = _ranges(begin, n)
+            start = ranges(begin, n)
             of = np.repeat(np.arange(len(n)), n)
             rank = deep_shallow(raw, start, length)
             least = np.full(len(rank), np.iinfo(np.int64).max)
@@ -430,7 +437,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             if later.any():
                 yield pa.RecordBatch.from_arrays(_rows(COVER, *intervals(d[later], c[later], t[later], length)), schema=MARKS)
 
-    second = materialize(_deal(asked.mapInArrow(cut, _DEALT_SQL), parts).mapInArrow(ordered, _MARKS_SQL), "windows")
+    second = materialize(map_batches(_deal(map_batches(asked, cut, _DEALT_SQL), parts), ordered, _MARKS_SQL), "windows")
     release_shuffles(spark)
     marks = first.where(F.col("kind") != REQUEST).unionByName(second)
     mark = F.struct(F.when(F.col("kind") == COVER, F.col("c")).alias("c"), "lo", "hi")
@@ -441,13 +448,6 @@ def _in_doc(doc: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(c + doc.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... size of them, for each pair."""
-    size = size.astype(np.int64)
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
-
-
 REMOVED = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -483,7 +483,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     own = _in_doc(x.doc, x.c)
                     a, b = np.searchsorted(key, own), np.searchsorted(key, own, "right")
                     mine = np.flatnonzero(b > a)
-                    k = _ranges(a[mine], (b - a)[mine])
+                    k = ranges(a[mine], (b - a)[mine])
                     who = np.repeat(mine, (b - a)[mine])
                     np.add.at(edge, np.maximum(x.at[who] + lo[k], x.lo[who]), 1)
                     np.add.at(edge, np.minimum(x.at[who] + hi[k], x.hi[who]), -1)
@@ -498,4 +498,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             ends = at.tolist()
             yield extended(part, {removed: pa.array(spans, kind), kept: pa.array([raw[s:e] for s, e in zip(ends, ends[1:])], pa.binary())})
 
-    return joined.mapInArrow(run, schema)
+    return map_batches(joined, run, schema)

@@ -2,9 +2,11 @@
 
 Words are classes: insult, threat, target, modal, negation, report. Each pattern is a small transducer that reads
 a clause's classes and keeps one thing in its state (a target near by, a modal before, a negation before, reported
-speech); the grammar is their composition, whose states are made as they are needed. At an insult or threat it
-writes a match: what it is, whether it is aimed at someone, and whether it is asserted, negated or reported. A
-clause counts once, as its weightiest match, and a text's score is a logistic sum over its matched clauses.
+speech); the grammar is their composition, whose states are made as they are needed. One that reads the clause from
+its end marks the words that a target follows closely, and the composition reads these marks along with the classes.
+At an insult or threat it writes a match: what it is, whether it is aimed at someone, and whether it is asserted,
+negated or reported. A clause counts once, as its weightiest match, and a text's score is a logistic sum over its
+matched clauses.
 
 Seed words are fixed. From labelled rows two more things are learned: stems (whole words or their beginnings) that
 stand in toxic texts and hardly in others, chosen greedily so that each accounts for texts that those before it do
@@ -13,7 +15,8 @@ are used, those whose ids hash least; nothing else is bounded. Rows with crc32(i
 learned from. Ids, languages and sources are no inputs of a score.
 
 Null and empty texts match nothing, and get the base score. Without labelled rows the given weights hold. Of
-several labels of one id the greatest holds; null labels are left out.
+several labels of one id or one text the greatest holds; null labels and labelled null texts are left out. Very
+long clauses are read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, with_columns
+from eventloom.llm.common import ALNUM, Rolling, Texts, Words, blocks, map_batches, with_columns
 from eventloom.shared import materialize
 
 MAX_TRAIN = 20_000
@@ -71,30 +74,39 @@ class Grammar:
     """The composition of the patterns; its transitions are kept as they are made."""
 
     parts = (Near("target", 4), Near("modal", 4), Near("negation", 3), Near("report", 0))
+    #: Reads from the clause's end.
+    after = Near("target", 3)
 
     def __init__(self) -> None:
         self.start = (0,) * len(self.parts)
         self.moves: dict[tuple, tuple[tuple, tuple | None]] = {}
 
-    def move(self, state: tuple, symbol: str | None) -> tuple[tuple, tuple | None]:
+    def move(self, state: tuple, symbol: str | None, followed: bool) -> tuple[tuple, tuple | None]:
         """The next state, and (what, aimed, manner) if this word is a match."""
-        key = (state, symbol)
+        key = (state, symbol, followed)
         if key not in self.moves:
             match = None
             target, modal, negation, report = state
             if symbol in ("insult", "threat", "suspect"):
-                match = (symbol, bool(target) or (symbol == "threat" and bool(modal)), "reported" if report else "negated" if negation else "asserted")
+                match = (symbol, followed or bool(target) or (symbol == "threat" and bool(modal)), "reported" if report else "negated" if negation else "asserted")
             self.moves[key] = (tuple(p.step(s, symbol) for p, s in zip(self.parts, state)), match)
         return self.moves[key]
 
+    def followed(self, classes: list[str | None]) -> list[bool]:
+        """Which words of a clause a target follows closely."""
+        marks, state = [False] * len(classes), 0
+        for i in range(len(classes) - 1, -1, -1):
+            marks[i] = state > 0
+            state = self.after.step(state, classes[i])
+        return marks
+
     def matches(self, classes: list[str | None]) -> list[tuple]:
-        """The matches of a clause. A target soon after a match aims it as well."""
+        """The matches of a clause."""
         found, state = [], self.start
-        for i, symbol in enumerate(classes):
-            state, match = self.move(state, symbol)
+        for symbol, mark in zip(classes, self.followed(classes)):
+            state, match = self.move(state, symbol, mark)
             if match:
-                what, aimed, manner = match
-                found.append((what, aimed or "target" in classes[i + 1 : i + 4], manner))
+                found.append(match)
         return found
 
 
@@ -193,11 +205,12 @@ def _word_sets(part: pa.RecordBatch, texts: Texts) -> Iterator[set[str]]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str, text: str, max_train: int) -> DataFrame:
-    """(text, y) of at most max_train labelled rows, each text once."""
+    """(text, y) of at most max_train labelled rows, each text once, with the greatest of its labels."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # Bounded by max_train rows of two numbers, so it may be broadcast.
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id").select("text", "y")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")
+    return found.groupBy("text").agg(F.max("y").alias("y"))
 
 
 def learn_stems(rows: DataFrame) -> tuple[list[str], list[str]]:
@@ -230,12 +243,12 @@ def learn_stems(rows: DataFrame) -> tuple[list[str], list[str]]:
         return run
 
     counts = "stem string, pos long, neg long"
-    some = rows.where("y > 0").mapInArrow(counted(), counts).groupBy("stem").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= MIN_SUPPORT)
+    some = map_batches(rows.where("y > 0"), counted(), counts).groupBy("stem").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= MIN_SUPPORT)
     rate = n_pos / n_all
     # Common beginnings are of no use, nor is what would not tell enough if no other text had it. max_train rows bound the rest.
     best = 2 * F.col("pos") * float(-np.log(rate))
     names = {r.stem for r in some.where((F.col("pos") <= 0.6 * n_pos + 10) & (best >= min(MIN_RATIO, SUSPECT_RATIO) - 1e-6)).collect()}
-    both = rows.mapInArrow(counted(sc.broadcast(names)), counts).groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    both = map_batches(rows, counted(sc.broadcast(names)), counts).groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = F.col("pos") / (F.col("pos") + F.col("neg"))
     good = {}
     for r in both.where((share > rate) & (share >= min(MIN_PRECISION, SUSPECT_PRECISION))).collect():
@@ -256,7 +269,7 @@ def learn_stems(rows: DataFrame) -> tuple[list[str], list[str]]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["stems"])
 
     # At most max_train rows; each lists only stems among the candidates.
-    texts = [set(r.stems) for r in rows.where("y > 0").mapInArrow(held, "stems array<int>").collect()]
+    texts = [set(r.stems) for r in map_batches(rows.where("y > 0"), held, "stems array<int>").collect()]
     by: dict[int, set[int]] = {}
     for t, stems in enumerate(texts):
         for s in stems:
@@ -297,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, do
     """held_out: of labels, rows that are not to be learned from."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0 if held_out is None else held_out
     rows = materialize(training_rows(docs, labels, held_out, doc_id, text, max_train), "labelled")
-    stems, suspects = learn_stems(rows.dropDuplicates(["text"]))
+    stems, suspects = learn_stems(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, grammar = Lexicon(stems, suspects), Grammar()
@@ -305,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, do
             x = features(texts, lexicon, grammar, GIVEN)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
-    got = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().collect()
+    got = map_batches(rows, run, "x array<double>, y int").groupBy("x", "y").count().collect()
     if not got:
         return Model(stems, suspects, GIVEN)
     x = np.repeat(np.array([r.x for r in got]), [r["count"] for r in got], axis=0)

@@ -156,7 +156,7 @@ def test_pages_that_are_odd(spark, trees):
 
 def test_decoding_is_hierarchical(trees):
     """What stays is closed upwards, and no other such tree is likelier."""
-    page = html.Page("<body><div><p>a</p><p>b</p></div><nav><p>c</p></nav>d</body>")
+    page = html.Page("<body><div><p>a</p><p>b</p></div><section><p>c</p></section>d</body>")
     n = len(page.parent)
     r = np.random.default_rng(1)
     for _ in range(30):
@@ -248,7 +248,7 @@ def test_tokenizers_agree():
     files = q.tokenizer_files()
     fast, slow = packing.encoder(**files), packing.encoder(files["vocabulary"], None, None)
     r = random.Random(5)
-    texts = ["".join(chr(r.choice([r.randrange(0x250), r.randrange(0x80), 32, 10, 39, 0x85, 0xA0, r.randrange(48, 58)])) for _ in range(r.randrange(60))) for _ in range(1500)]
+    texts = ["".join(chr(r.choice([r.randrange(0x280), r.randrange(0x80), 32, 10, 39, 0x85, 0xA0, r.randrange(48, 58)])) for _ in range(r.randrange(60))) for _ in range(1500)]
     x = Texts(pa.array(texts))
     assert all(a.tolist() == b.tolist() for a, b in zip(fast(x), slow(x)))
 
@@ -479,11 +479,21 @@ def test_licenses(spark, docs, empty):
 
 
 def test_columns_with_the_same_names(spark):
-    rows = spark.createDataFrame([(1, "a@b.cd", 5, "x", 7, 8)], "doc_id long, text string, PII int, removed string, bench_words int, score int")
-    assert pii.find_pii(rows).first()["pii"][0].kind == "email"
-    assert bytes(substrings.remove_repeats(rows).first()["kept"]) == b"a@b.cd" and substrings.remove_repeats(rows).first()["removed"] == "x"
+    """Columns that a table has already stay as they are; the new ones come last, with lengthened names."""
+    rows = spark.createDataFrame([(1, "a@b.cd", 5, "x", 7, 8, 9)], "doc_id long, text string, PII int, removed string, bench_words int, score int, KEPT int")
+    found = pii.find_pii(rows).first()
+    assert (found["PII"], found["pii_"][0].kind) == (5, "email")
+    cut = substrings.remove_repeats(rows).first()
+    assert (bytes(cut["kept_"]), cut["removed"], cut["KEPT"]) == (b"a@b.cd", "x", 9)
     assert find_contamination(rows, spark.createDataFrame([(1, "b cd")], "item_id long, text string")).first()["bench_items"] == ["1"]
-    assert toxicity.score_toxicity(rows, toxicity.Model([], [], toxicity.GIVEN)).first()["score"] < 0.5
+    scored = toxicity.score_toxicity(rows, toxicity.Model([], [], toxicity.GIVEN)).first()
+    assert scored["score"] == 8 and scored["score_"] < 0.5
+    good = quality.score_quality(rows).first()
+    assert (good["KEPT"], good["kept_"], good["base_failed"]) == (9, False, True)
+    assert licenses.scan_licenses(rows).columns == ["doc_id", "n_words", "licenses"]
+    assert simhash.keep_one(rows).columns == rows.columns
+    events = spark.createDataFrame([(1, 0, "message", "user", "hi", None, 3)], "conv_id long, seq long, kind string, role string, text string, message_id string, part int")
+    assert chat.format_chats(events).columns == ["conv_id", "part", "text", "mask"]
 
 
 # ---------------------------------------------------------------- queries and the pipeline
