@@ -41,7 +41,7 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
     return got.select("row.*", *(F.when(ok, F.col(f"hit.v{i}")).alias(prefix + v) for i, v in enumerate(values)))
 
 
-def window_candidates(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left_on: str, right_id: str, right_on: str, lo_s: float, hi_s: float, most: int = 16) -> DataFrame:
+def window_candidates(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left_on: str, right_id: str, right_on: str, lo_s: float, hi_s: float, most: int) -> DataFrame:
     """(left_id, right_id, dt): right rows of the same keys with lo_s <= right - left <= hi_s, the first `most` of each left row.
 
     Times are cut into slots as wide as the window, and each left row asks for the slots its window touches, so the

@@ -111,8 +111,13 @@ def fit_windows(events: DataFrame, by: str, t: str, kind: str, n_kinds: int, len
     return rows.repartition(4 * parts, "by").groupBy("by").applyInPandas(run, "by long, n long, loglik double, rho double, mu array<double>")
 
 
-def simulate(rng: np.random.Generator, mu: np.ndarray, n: np.ndarray, beta: float, length: float, most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(t, kind, parent) of one realization, generation by generation; n[i, j] is the mean number of i that a j gives rise to."""
+def simulate(rng: np.random.Generator, mu: np.ndarray, n: np.ndarray, beta: float, length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t, kind, parent) of one realization, generation by generation; n[i, j] is the mean number of i that a j gives rise to.
+
+    n must have a spectral radius below 1, else it raises: such a realization may have no end.
+    """
+    if np.abs(np.linalg.eigvals(n)).max() >= 1:
+        raise ValueError("the process explodes: its branching matrix has a spectral radius of 1 or more")
     t, kind, parent = [], [], []
     for k, m in enumerate(mu):
         c = rng.poisson(m * length)
@@ -120,7 +125,7 @@ def simulate(rng: np.random.Generator, mu: np.ndarray, n: np.ndarray, beta: floa
         kind += [k] * c
         parent += [-1] * c
     at = 0
-    while at < len(t) and len(t) < most:
+    while at < len(t):
         for k in range(len(mu)):
             for dt in rng.exponential(1 / beta, rng.poisson(n[k, kind[at]])).tolist():
                 if t[at] + dt < length:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -20,16 +24,54 @@ def last_writer_edges(touches: DataFrame, key: str, who: str, t: str) -> DataFra
     return first.join(past, ["key", "t"]).where(F.col("parent").isNotNull()).select("who", "parent", "key")
 
 
-def layers(edges: DataFrame, child: str, parent: str, most: int = 10_000) -> DataFrame:
-    """(node, layer): the longest path from a node without parents. Edges must have no cycles.
+#: Edges that one task may hold, 16 bytes each and as much again for its work; beyond, layers() goes by rounds.
+SMALL = 1 << 21
+
+
+def longest_paths(child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, layer): nodes leave once all their parents have left; a node's layer is the round in which it does."""
+    nodes, ends = np.unique(np.concatenate([child, parent]), return_inverse=True)
+    c, p = ends[: len(child)], ends[len(child) :]
+    order = np.argsort(p, kind="stable")
+    c, p = c[order], p[order]
+    first = np.searchsorted(p, np.arange(len(nodes) + 1))
+    waits = np.bincount(c, minlength=len(nodes))
+    layer = np.full(len(nodes), -1, np.int64)
+    now, k = np.flatnonzero(waits == 0), 0
+    while len(now):
+        layer[now] = k
+        size = first[now + 1] - first[now]
+        ends_ = np.cumsum(size)
+        to = c[np.arange(ends_[-1]) + np.repeat(first[now] - (ends_ - size), size)]
+        np.subtract.at(waits, to, 1)
+        now, k = np.unique(to[waits[to] == 0]), k + 1
+    if (layer < 0).any():
+        raise ValueError("the edges have a cycle")
+    return nodes, layer
 
-    Rounds: the nodes that a walk of k edges from a root can end at; a node's layer is the last round that has it.
-    Each round is written to the shared folder, so the plan does not grow with the depth.
+
+def layers(edges: DataFrame, child: str, parent: str, small: int = SMALL) -> DataFrame:
+    """(node, layer): the longest path from a node without parents. Edges (of whole numbers) must have no cycles, else it raises.
+
+    Up to `small` edges are one task's work. More go by rounds: the nodes that a walk of k edges from a root can end
+    at; a node's layer is the last round that has it. Each round is written to the shared folder, so the plan does
+    not grow with the depth.
     """
-    e = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct(), "edges")
+    e = materialize(edges.select(F.col(child).cast("long").alias("c"), F.col(parent).cast("long").alias("p")).distinct(), "edges")
+    if e.count() <= small:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = pd.concat([pd.DataFrame({"c": [], "p": []}, dtype=np.int64), *batches])
+            nodes, layer = longest_paths(held["c"].to_numpy(), held["p"].to_numpy())
+            yield pd.DataFrame({"node": nodes, "layer": layer})
+
+        return e.coalesce(1).mapInPandas(run, "node long, layer long")
     at = e.select(F.col("p").alias("node")).distinct().join(e.select(F.col("c").alias("node")), "node", "left_anti")
     rounds = [materialize(at.withColumn("layer", F.lit(0).cast("long")), "layer")]
-    while rounds[-1].take(1) and len(rounds) <= most:
+    n = e.select("c").distinct().count()
+    while rounds[-1].take(1):
+        if len(rounds) > n + 1:
+            raise ValueError("the edges have a cycle")
         fresh = e.join(rounds[-1].select(F.col("node").alias("p")), "p", "left_semi").select(F.col("c").alias("node")).distinct()
         rounds.append(materialize(fresh.withColumn("layer", F.lit(len(rounds)).cast("long")), "layer"))
     all_ = rounds[0]
@@ -38,6 +80,21 @@ def layers(edges: DataFrame, child: str, parent: str, most: int = 10_000) -> Dat
     return all_.groupBy("node").agg(F.max("layer").alias("layer"))
 
 
+def ancestors(parents: DataFrame, node: str, parent: str, start: DataFrame) -> DataFrame:
+    """(node): those of start (node) and all above them in a forest given by parents.
+
+    Each round doubles how far up the marked nodes see, so rounds are the logarithm of the depth.
+    """
+    up = materialize(parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up")), "up")
+    marked = materialize(start.select("node").distinct(), "marked")
+    while True:
+        more = materialize(marked.join(up, "node").select(F.col("up").alias("node")).distinct().join(marked, "node", "left_anti"), "marked")
+        if not more.take(1):
+            return marked
+        marked = materialize(marked.unionByName(more), "marked")
+        up = materialize(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")), "up")
+
+
 def degrees(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Of the graph: edges, nodes with parents, the share of these with several, and the mean number of parents."""
     n = edges.select(child, parent).distinct().groupBy(child).agg(F.count("*").alias("n"))

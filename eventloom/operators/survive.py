@@ -5,15 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators import graph
+from eventloom.shared import materialize
 
-def relations(df: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
-    """Each version against the one before: first, ident, append (that is a beginning of this), trunc (this of that), rewrite."""
-    prev = F.lag(text).over(W.partitionBy(*by).orderBy(order))
+
+#: Rows back that are compared for equality (one back is ident), and that are searched for a beginning.
+REVERT_WINDOW, FORK_WINDOW = 6, 50
+
+
+def relations(df: DataFrame, by: str, order: str, text: str, revert: int = REVERT_WINDOW, fork: int = FORK_WINDOW) -> DataFrame:
+    """(by, id, idx, prev, rel, base, base_lag): what each version of a text is to those before it; ids are the order, and unique.
+
+    first; ident, equal to the one before; append, that is a beginning of this; revert, equal to one of a few rows
+    back; trunc, a beginning of the one before; fork, one of some rows back (not empty) is a beginning of this;
+    rewrite. base is the row that it goes back to, the latest of several. Whole texts are compared, by their length and
+    a hash of 128 bits; texts themselves stay where they are, and the window holds a short row for each version.
+    """
+    w = W.partitionBy("by").orderBy("id")
+    t = F.coalesce(F.col(text), F.lit(""))
+    v = df.select(F.col(by).alias("by"), F.col(order).alias("id"), t.alias("text"), F.length(t).alias("len"), F.md5(t).alias("hash"))
+    key = F.struct("id", "len", "hash")
+    v = v.withColumn("idx", F.row_number().over(w)).withColumn("last", F.lag(key).over(w)).withColumn("back", F.collect_list(key).over(w.rowsBetween(-fork, -2)))
+    # A beginning of this text, if it is not longer.
+    begins = lambda x: (x["len"] < F.col("len")) & (F.md5(F.substring(F.col("text"), F.lit(1), x["len"])) == x["hash"])
+    near = F.slice("back", F.greatest(F.lit(1), F.size("back") - (revert - 2)), F.lit(revert - 1))
+    undone = F.filter(near, lambda x: (x["len"] == F.col("len")) & (x["hash"] == F.col("hash")))
+    forked = F.filter("back", lambda x: (x["len"] > 0) & begins(x))
+    # The one before, cut to this one's length, needs its text: it comes by its id.
+    before = df.select(F.col(order).alias("was_id"), F.coalesce(F.col(text), F.lit("")).alias("was"))
+    v = v.join(before, F.col("last.id") == F.col("was_id"), "left")
+    cut = (F.col("len") < F.col("last.len")) & (F.md5(F.substring(F.col("was"), F.lit(1), F.col("len"))) == F.col("hash"))
+    latest = lambda a: F.element_at(a, -1)["id"]
+    one = lambda name, base: F.struct(F.lit(name).alias("rel"), base.cast(v.schema["id"].dataType).alias("base"))
     rel = (
-        F.when(F.col("_p").isNull(), "first").when(F.col("_p") == F.col(text), "ident")
-        .when(F.col(text).startswith(F.col("_p")), "append").when(F.col("_p").startswith(F.col(text)), "trunc").otherwise("rewrite")
+        F.when(F.col("last").isNull(), one("first", F.lit(None)))
+        .when((F.col("last.len") == F.col("len")) & (F.col("last.hash") == F.col("hash")), one("ident", F.col("last.id")))
+        .when(begins(F.col("last")), one("append", F.col("last.id")))
+        .when(F.size(undone) > 0, one("revert", latest(undone)))
+        .when(cut, one("trunc", F.col("last.id")))
+        .when(F.size(forked) > 0, one("fork", latest(forked)))
+        .otherwise(one("rewrite", F.col("last.id")))
     )
-    return df.withColumn("_p", prev).withColumn("rel", rel).drop("_p")
+    got = v.select("by", "id", "idx", F.col("last.id").alias("prev"), rel.alias("r")).select("by", "id", "idx", "prev", "r.rel", "r.base")
+    places = got.select(F.col("id").alias("base"), F.col("idx").alias("base_idx"))
+    return got.join(places, "base", "left").select("by", "id", "idx", "prev", "rel", "base", (F.col("idx") - F.col("base_idx")).alias("base_lag"))
+
+
+GENERATIONS = ("first", "rewrite")
+
+
+def lineage(rel: DataFrame) -> DataFrame:
+    """rel with gen (the row that began its generation), depth, and of rows that begin one parent (generation) and input (row).
+
+    rel is relations' table, already written: it is read several times. Chains are followed by pointer jumping.
+    """
+    begins = F.col("rel").isin(*GENERATIONS)
+    gens = graph.forest(rel.select("id", F.when(~begins, F.col("base")).alias("up")), "id", "up").select(F.col("node").alias("id"), F.col("root").alias("gen"))
+    # Of rows equal to the one before, the first of the run.
+    same = graph.forest(rel.select("id", F.when(F.col("rel") == "ident", F.col("base")).alias("up")), "id", "up").select(F.col("node").alias("prev"), F.col("root").alias("input"))
+    tops = rel.where(begins).select("id", F.when(F.col("rel") == "rewrite", F.col("prev")).alias("prev")).join(same, "prev", "left").select("id", "input")
+    tops = materialize(tops.join(gens.select(F.col("id").alias("input"), F.col("gen").alias("parent")), "input", "left").select("id", "input", "parent"), "generations")
+    depth = graph.forest(tops, "id", "parent").select(F.col("node").alias("gen"), F.col("generation").alias("depth"))
+    return rel.join(gens, "id").join(depth, "gen").join(tops, "id", "left")
+
+
+def live_rows(rows: DataFrame) -> DataFrame:
+    """Of lineage's table, rows that are not ident and whose generation a later row of the same text still descends from."""
+    last = rows.groupBy("by").agg(F.max(F.struct("idx", "gen")).alias("m")).select(F.col("m.gen").alias("node"))
+    tops = rows.where(F.col("rel").isin(*GENERATIONS)).select("id", "parent")
+    live = graph.ancestors(tops, "id", "parent", last)
+    return rows.where("rel <> 'ident'").join(live.withColumnRenamed("node", "gen"), "gen", "left_semi")
 
 
 def presence_spells(df: DataFrame, by: list[str], index: str) -> DataFrame:

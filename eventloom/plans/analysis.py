@@ -113,13 +113,26 @@ EX20 = f"SELECT target, parent, round(prob, 6) AS prob FROM (SELECT target, coal
 
 
 def sv01(s, d):
-    v = table(s, d, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("text"))
-    return survive.relations(v, ["source"], "doc_id", "text").select("doc_id", "rel")
-
-
-SV01 = """
-WITH v AS (SELECT doc_id, substr(text, 1, 40) AS t, lag(substr(text, 1, 40)) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)
-SELECT doc_id, CASE WHEN p IS NULL THEN 'first' WHEN p = t THEN 'ident' WHEN starts_with(t, p) THEN 'append' WHEN starts_with(p, t) THEN 'trunc' ELSE 'rewrite' END AS rel FROM v"""
+    """Documents of a source as versions of one text."""
+    return survive.relations(table(s, d, "documents"), "source", "doc_id", "text").select(F.col("id").alias("doc_id"), "rel", "base", F.col("base_lag").cast("long").alias("base_lag"))
+
+
+RELATIONS = """
+     v AS (SELECT doc_id, source, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+     b AS (SELECT a.doc_id, max(b.k) FILTER (b.k = a.k - 1) AS p, bool_or(b.k = a.k - 1 AND b.t = a.t) AS ident, bool_or(b.k = a.k - 1 AND b.n < a.n AND starts_with(a.t, b.t)) AS append,
+                  max(b.k) FILTER (b.k BETWEEN a.k - 6 AND a.k - 2 AND b.t = a.t) AS undone, bool_or(b.k = a.k - 1 AND a.n < b.n AND starts_with(b.t, a.t)) AS trunc,
+                  max(b.k) FILTER (b.k BETWEEN a.k - 50 AND a.k - 2 AND b.n > 0 AND b.n < a.n AND starts_with(a.t, b.t)) AS forked
+           FROM v a JOIN v b ON a.source IS NOT DISTINCT FROM b.source AND b.k BETWEEN a.k - 50 AND a.k - 1 GROUP BY 1),
+     q AS (SELECT v.doc_id, v.source, v.k, CASE WHEN p IS NULL THEN 'first' WHEN ident THEN 'ident' WHEN append THEN 'append' WHEN undone IS NOT NULL THEN 'revert' WHEN trunc THEN 'trunc' WHEN forked IS NOT NULL THEN 'fork' ELSE 'rewrite' END AS rel,
+                  CASE WHEN ident OR append THEN p WHEN undone IS NOT NULL THEN undone WHEN trunc THEN p WHEN forked IS NOT NULL THEN forked ELSE p END AS at FROM v LEFT JOIN b USING (doc_id)),
+     r AS (SELECT q.doc_id, q.source, q.k, q.rel, o.doc_id AS base, q.k - q.at AS base_lag, z.doc_id AS prev FROM q LEFT JOIN v o ON q.source IS NOT DISTINCT FROM o.source AND o.k = q.at LEFT JOIN v z ON q.source IS NOT DISTINCT FROM z.source AND z.k = q.k - 1)"""
+SV01 = f"WITH {RELATIONS}\nSELECT doc_id, rel, base, base_lag FROM r"
+LINEAGE = f"""WITH RECURSIVE {RELATIONS},
+     g AS (SELECT doc_id, doc_id AS gen FROM r WHERE rel IN ('first', 'rewrite') UNION ALL SELECT r.doc_id, g.gen FROM r JOIN g ON r.base = g.doc_id WHERE rel NOT IN ('first', 'rewrite')),
+     i AS (SELECT doc_id, doc_id AS input FROM r WHERE rel <> 'ident' UNION ALL SELECT r.doc_id, i.input FROM r JOIN i ON r.base = i.doc_id WHERE rel = 'ident'),
+     t AS (SELECT r.doc_id, i.input, g.gen AS parent FROM r LEFT JOIN i ON i.doc_id = r.prev AND r.rel = 'rewrite' LEFT JOIN g ON g.doc_id = i.input WHERE rel IN ('first', 'rewrite')),
+     e AS (SELECT doc_id, 0 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.doc_id, e.depth + 1 FROM t JOIN e ON t.parent = e.doc_id),
+     l AS (SELECT r.*, g.gen, CAST(e.depth AS BIGINT) AS depth, t.parent, t.input FROM r JOIN g USING (doc_id) JOIN e ON e.doc_id = g.gen LEFT JOIN t ON t.doc_id = r.doc_id)"""
 
 
 def _days(s, d):
@@ -328,7 +341,7 @@ SELECT series, CAST(day % 7 AS INT) AS weekday, round(quantile_cont(rest, 0.5),
 
 def _touches(s, d):
     li, o = table(s, d, "lineitem"), table(s, d, "orders")
-    return li.join(o, li.l_orderkey == o.o_orderkey).where("o_orderdate < TIMESTAMP_NTZ'1995-12-01'").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("who"), F.col("o_orderdate").alias("t"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("who"), F.col("o_orderdate").alias("t"))
 
 
 def dg03(s, d):
@@ -340,7 +353,7 @@ def _edges(s, d):
 
 
 EDGES = """
-WITH RECURSIVE f AS (SELECT l_partkey AS key, l_orderkey AS who, min(o_orderdate) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1995-12-01' GROUP BY 1, 2),
+WITH RECURSIVE f AS (SELECT l_partkey AS key, l_orderkey AS who, min(o_orderdate) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
      a AS (SELECT key, t, max(who) AS last FROM f GROUP BY 1, 2), p AS (SELECT key, t, lag(last) OVER (PARTITION BY key ORDER BY t) AS parent FROM a),
      e AS (SELECT who, parent, key FROM f JOIN p USING (key, t) WHERE parent IS NOT NULL)"""
 
@@ -360,22 +373,15 @@ def dg07(s, d):
 
 
 def f35(s, d):
-    """The chance that a customer's m orders of w would hold one of k drawn, by a table of log-factorials."""
+    """The chance that three drawn orders of a customer's w hold one of m: one less a product of as many shares as are drawn."""
     n = table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("w"), F.count_if(F.col("o_orderstatus") == "F").alias("m"))
-    top = 200
-    lf = s.range(top).select("id", F.coalesce(F.sum(F.when(F.col("id") > 0, F.log(F.col("id").cast("double"))).otherwise(0.0)).over(W.orderBy("id")), F.lit(0.0)).alias("lf"))  # two hundred rows
-    table_ = F.broadcast(lf.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "lf"))), lambda x: x["lf"]).alias("lf")))
-    g = lambda x: F.get("lf", x.cast("int"))
-    choose = lambda a, b: g(a) - g(b) - g(a - b)
-    k = F.lit(3)
-    w, m = F.col("w"), F.col("m")
-    p = F.when(w - m < k, 1.0).otherwise(1 - F.exp(choose(w - m, k) - choose(w, k)))
-    return n.where("w >= 3 AND w < 200").crossJoin(table_).select("o_custkey", F.round(p, R).alias("p"))
+    none = F.aggregate(F.sequence(F.lit(0), F.lit(2)), F.lit(1.0), lambda p, i: p * F.greatest(F.lit(0), F.col("w") - F.col("m") - i) / (F.col("w") - i))
+    return n.where("w >= 3").select("o_custkey", F.round(1 - none, R).alias("p"))
 
 
 F35 = """
 WITH n AS (SELECT o_custkey, count(*) AS w, count(*) FILTER (o_orderstatus = 'F') AS m FROM orders GROUP BY 1)
-SELECT o_custkey, round(CASE WHEN w - m < 3 THEN 1 ELSE 1 - exp(lgamma(w - m + 1) - lgamma(w - m - 2) - lgamma(w + 1) + lgamma(w - 2)) END, 6) AS p FROM n WHERE w >= 3 AND w < 200"""
+SELECT o_custkey, round(CASE WHEN w - m < 3 THEN 1 ELSE 1 - exp(lgamma(w - m + 1) - lgamma(w - m - 2) - lgamma(w + 1) + lgamma(w - 2)) END, 6) AS p FROM n WHERE w >= 3"""
 
 
 def va04(s, d):
@@ -431,12 +437,12 @@ def _stream(s, d):
 
 def st01(s, d):
     name = f"blocks_{uuid.uuid4().hex}"
-    got = live.run_to_memory(live.stream_blocks(_stream(s, d), "ts", 900, ["user_id"]), name)
+    got = live.run_to_files(live.stream_blocks(_stream(s, d), "ts", 900, ["user_id"]), name, "complete")
     return got.select("user_id", "date", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n_rows")
 
 
 def st04(s, d):
-    return live.run_to_memory(live.stream_daily(_stream(s, d), "ts", ["event_type"]), f"daily_{uuid.uuid4().hex}")
+    return live.run_to_files(live.stream_daily(_stream(s, d), "ts", ["event_type"]), f"daily_{uuid.uuid4().hex}", "complete")
 
 
 def st02(s, d):
@@ -444,13 +450,13 @@ def st02(s, d):
     path = f"{shared_dir(s)}/daily-{uuid.uuid4().hex}"
     _series(s, d).withColumn("x", F.col("x") / 50 - 1).coalesce(1).write.parquet(path)
     stream = s.readStream.schema("series string, day int, x double").parquet(path)
-    return live.run_to_memory(live.stream_runs(stream, "series", "day", "x", 0.05), f"runs_{uuid.uuid4().hex}", "append")
+    return live.run_to_files(live.stream_runs(stream, "series", "day", "x", 0.05), f"runs_{uuid.uuid4().hex}", "append")
 
 
 def st05(s, d):
     e = _stream(s, d).withColumnRenamed("event_id", "id")
     got = live.stream_candidates(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id"], "ts", 0, 21600)
-    return live.run_to_memory(got, f"pairs_{uuid.uuid4().hex}", "append")
+    return live.run_to_files(got, f"pairs_{uuid.uuid4().hex}", "append")
 
 
 def _st01_sql():

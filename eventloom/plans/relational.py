@@ -82,17 +82,21 @@ def prj09(s, d):
 
 
 def prj10(s, d):
-    """The longest name that a text begins with, up to a boundary."""
-    names = table(s, d, "documents").where("doc_id < 40").select(F.lower(F.substring_index(F.substring_index("text", " ", 1), "\n", 1)).alias("name")).where(F.length("name") >= 2).distinct()
-    docs = table(s, d, "documents").select("doc_id", F.lower(F.substring("text", 1, 60)).alias("head"))
-    hit = docs.join(F.broadcast(names), F.expr("startswith(head, name)"))  # at most forty names
-    ok = hit.where(F.expr("length(head) = length(name) OR NOT regexp_like(substring(head, length(name) + 1, 1), '[a-z0-9]')"))
-    return ok.groupBy("doc_id").agg(F.max(F.struct(F.length("name").alias("n"), "name")).alias("m")).select("doc_id", F.col("m.name").alias("name"))
+    """The longest name that a text begins with, up to a boundary; names are the first words of all documents.
+
+    A text's beginnings that end at a boundary, no longer than the longest name, are joined to the names by equality.
+    """
+    names = table(s, d, "documents").select(F.lower(F.substring_index(F.substring_index("text", " ", 1), "\n", 1)).alias("name")).where(F.length("name") >= 2).distinct()
+    most = names.agg(F.max(F.length("name")).alias("most"))  # one row
+    docs = table(s, d, "documents").select("doc_id", F.lower("text").alias("t")).crossJoin(F.broadcast(most)).where("length(t) >= 2 AND most >= 2")
+    ends = F.expr("filter(sequence(2, least(length(t), most)), i -> i = length(t) OR NOT regexp_like(substring(t, i + 1, 1), '[a-z0-9]'))")
+    begins = docs.select("doc_id", F.explode(F.transform(ends, lambda i: F.substring(F.col("t"), F.lit(1), i))).alias("name"))
+    return begins.join(names, "name").groupBy("doc_id").agg(F.max(F.struct(F.length("name").alias("n"), "name")).alias("m")).select("doc_id", F.col("m.name").alias("name"))
 
 
 PRJ10_SQL = """
-WITH n AS (SELECT DISTINCT lower(split_part(split_part(text, ' ', 1), chr(10), 1)) AS name FROM documents WHERE doc_id < 40),
-     h AS (SELECT doc_id, lower(substr(text, 1, 60)) AS head FROM documents)
+WITH n AS (SELECT DISTINCT lower(split_part(split_part(text, ' ', 1), chr(10), 1)) AS name FROM documents),
+     h AS (SELECT doc_id, lower(text) AS head FROM documents)
 SELECT doc_id, arg_max(name, (length(name), name)) AS name FROM h JOIN n ON starts_with(head, name)
 WHERE length(name) >= 2 AND (length(head) = length(name) OR NOT regexp_matches(substr(head, length(name) + 1, 1), '[a-z0-9]')) GROUP BY 1"""
 
@@ -112,12 +116,12 @@ def prj12(s, d):
 
 
 def prj13(s, d):
-    return table(s, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("text"), F.least(F.length("text"), F.lit(2000)).cast("long").alias("text_len"), F.coalesce("source", F.lit("none")).alias("source"))
+    return table(s, d, "documents").select("doc_id", F.substring("text", 1, 2000).alias("text"), F.least(F.length("text"), F.lit(2000)).cast("long").alias("text_len"), F.coalesce("source", F.lit("none")).alias("source"))
 
 
 def prj14(s, d):
     """Words of a turn that the turn before does not have, in order, repeats kept."""
-    c = table(s, d, "conversations").withColumn("w", F.slice(F.split(F.lower("text"), " "), 1, 40))
+    c = table(s, d, "conversations").withColumn("w", F.split(F.lower("text"), " "))
     prev = F.lag("w").over(W.partitionBy("conv_id").orderBy("turn"))
     return c.withColumn("p", prev).select("conv_id", "turn", F.array_join(F.expr("filter(coalesce(w, array()), x -> NOT array_contains(coalesce(p, array()), x))"), " ").alias("fresh"))
 
@@ -524,8 +528,8 @@ QUERIES = {
     "PRJ-10_leading_name": (prj10, PRJ10_SQL),
     "PRJ-11_regime_switch": (prj11, "SELECT event_id, coalesce(ts >= min(ts) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) - INTERVAL 1 SECOND, false) AS after FROM events"),
     "PRJ-12_exclusions": (prj12, "SELECT date, count(*) AS n FROM (SELECT user_id, CAST(ts AS DATE) AS date FROM events) WHERE (user_id, date) NOT IN (SELECT (user_id, CAST(ts AS DATE)) FROM events WHERE event_type = 'error' AND value > 50) GROUP BY 1"),
-    "PRJ-13_truncate": (prj13, "SELECT doc_id, substr(text, 1, 200) AS text, CAST(least(length(text), 2000) AS BIGINT) AS text_len, coalesce(source, 'none') AS source FROM documents"),
-    "PRJ-14_list_minus": (prj14, "WITH c AS (SELECT conv_id, turn, string_split(lower(text), ' ')[1:40] AS w FROM conversations), p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x: NOT list_contains(coalesce(p, []), x)), ' ') AS fresh FROM p"),
+    "PRJ-13_truncate": (prj13, "SELECT doc_id, substr(text, 1, 2000) AS text, CAST(least(length(text), 2000) AS BIGINT) AS text_len, coalesce(source, 'none') AS source FROM documents"),
+    "PRJ-14_list_minus": (prj14, "WITH c AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations), p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x: NOT list_contains(coalesce(p, []), x)), ' ') AS fresh FROM p"),
     "PRJ-17_small_cells": (prj17, "SELECT CASE WHEN n < 45 OR source IN ('src1', 'src2') THEN 'other' ELSE source END AS source, CAST(sum(n) AS BIGINT) AS n FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1) GROUP BY 1"),
     "AG-01_conditional_counts": (ag01, AG01_SQL),
     "AG-02_user_days": (ag02, AG02_SQL),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import excite, graph, resample, survive, transmit
 from eventloom.plans import analysis as an
 from eventloom.session import table
+from eventloom.shared import materialize
 
 R = 6
 
@@ -44,11 +45,11 @@ FROM o a JOIN o b ON a.unit = b.unit AND b.day < a.day AND b.day >= a.day - CASE
 def jn21(s, d):
     """Last writers by container: orders on one supplier."""
     li, o = table(s, d, "lineitem"), table(s, d, "orders")
-    t = li.join(o, li.l_orderkey == o.o_orderkey).where("o_orderdate < TIMESTAMP_NTZ'1995-06-01'")
+    t = li.join(o, li.l_orderkey == o.o_orderkey)
     return graph.last_writer_edges(t, "l_suppkey", "l_orderkey", "o_orderdate")
 
 
-JN21 = an.EDGES.replace("l_partkey AS key", "l_suppkey AS key").replace("1995-12-01", "1995-06-01") + "\nSELECT who, parent, key FROM e"
+JN21 = an.EDGES.replace("l_partkey AS key", "l_suppkey AS key") + "\nSELECT who, parent, key FROM e"
 
 
 def w09(s, d):
@@ -225,11 +226,32 @@ def ex25(s, d):
 # ---------------------------------------------------------------- survival
 
 
+def _versions(s, d):
+    rel = materialize(survive.relations(table(s, d, "documents"), "source", "doc_id", "text"), "relations")
+    return materialize(survive.lineage(rel), "lineage")
+
+
 def sv02(s, d):
-    """Generations of versions: a rewrite begins one."""
-    r = an.sv01(s, d).join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return r.select("doc_id", F.sum(F.col("rel").isin("first", "rewrite").cast("int")).over(w).alias("generation"))
+    """Generations of versions: a rewrite begins one, which comes from that of the row before."""
+    return _versions(s, d).select(F.col("id").alias("doc_id"), "gen", "depth", "parent", "input")
+
+
+def sv03(s, d):
+    """All columns of versions, with the regime: from a source's first long document on (less five ids) it is another."""
+    first = table(s, d, "documents").where("n_chars > 4000").groupBy(F.col("source").alias("by")).agg((F.min("doc_id") - 5).alias("first"))
+    after = F.coalesce(F.col("id") >= F.col("first"), F.lit(False))
+    got = _versions(s, d).join(first, "by", "left")
+    return got.select(F.col("id").alias("doc_id"), F.col("by").alias("source"), "prev", "rel", "base", F.col("base_lag").cast("long").alias("base_lag"), F.col("rel").isin(*survive.GENERATIONS).alias("is_generation"), "gen", "depth", "parent", "input", F.when(after, "post").otherwise("pre").alias("regime"))
+
+
+def sv04(s, d):
+    """Versions that count: no repeats, and none of generations that nothing later descends from."""
+    return survive.live_rows(_versions(s, d)).select(F.col("id").alias("doc_id"), "rel", "gen")
+
+
+SV04 = an.LINEAGE + """,
+     live AS (SELECT arg_max(gen, k) AS gen FROM l GROUP BY source UNION SELECT t.parent FROM t JOIN live ON t.doc_id = live.gen WHERE t.parent IS NOT NULL)
+SELECT doc_id, rel, gen FROM l WHERE rel <> 'ident' AND gen IN (SELECT gen FROM live)"""
 
 
 def sv05(s, d):
@@ -491,8 +513,9 @@ QUERIES = {
     "EX-11_bootstrap": (ex11, None),
     "EX-23_expected_children": (ex23, f"SELECT event_type AS j, count(*) AS n, round(coalesce(any_value(mass), 0) / count(*), 6) AS children FROM events LEFT JOIN (SELECT j, sum(prob) AS mass FROM ({an.POSTERIOR}) WHERE source IS NOT NULL GROUP BY 1) p ON p.j = event_type GROUP BY 1"),
     "EX-25_reach_variants": (ex25, f"SELECT reach, count(*) AS n, count(DISTINCT target) AS targets FROM ({an.PAIRS}), (VALUES (3600.0::DOUBLE), (7200.0::DOUBLE), (21600.0::DOUBLE)) v(reach) WHERE dt <= reach GROUP BY 1"),
-    "SV-02_generations": (sv02, an.SV01.replace("SELECT doc_id, CASE", "SELECT doc_id, CAST(sum(CASE WHEN rel IN ('first', 'rewrite') THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS generation FROM (SELECT doc_id, source, CASE").replace("SELECT doc_id, substr", "SELECT doc_id, source, substr") + ")"),
-    "SV-04_live_rows": (lambda s, d: an.sv01(s, d).where("rel <> 'ident'").groupBy("rel").agg(F.count("*").alias("n")), f"SELECT rel, count(*) AS n FROM ({an.SV01}) WHERE rel <> 'ident' GROUP BY 1"),
+    "SV-02_generations": (sv02, an.LINEAGE + "\nSELECT doc_id, gen, depth, parent, input FROM l"),
+    "SV-03_versions": (sv03, an.LINEAGE + ",\n     f AS (SELECT source, min(doc_id) - 5 AS first FROM documents WHERE n_chars > 4000 GROUP BY 1)\nSELECT doc_id, l.source, prev, rel, base, base_lag, rel IN ('first', 'rewrite') AS is_generation, gen, depth, parent, input, CASE WHEN doc_id >= first THEN 'post' ELSE 'pre' END AS regime FROM l LEFT JOIN f ON f.source IS NOT DISTINCT FROM l.source"),
+    "SV-04_live_rows": (sv04, SV04),
     "SV-05_value_ids": (sv05, "SELECT event_type, k, CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY k) AS INT) AS vid FROM (SELECT DISTINCT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"),
     "SV-06_fates": (sv06, SV06),
     "SV-13_simulated": (sv13, None),

@@ -160,10 +160,10 @@ def f22(s, d):
 
 def f23(s, d):
     """Suppliers that turns name by an alias that means only one of them."""
-    a = table(s, d, "documents").where("doc_id < 60").select(F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("alias"), (F.col("doc_id") % 12).alias("who")).where("length(alias) >= 2").distinct()
+    a = table(s, d, "documents").select(F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("alias"), (F.col("doc_id") % 12).alias("who")).where("length(alias) >= 2").distinct()
     one = a.groupBy("alias").agg(F.count("*").alias("n"), F.min("who").alias("who")).where("n = 1").select("alias", "who")
     w = table(s, d, "conversations").select("conv_id", F.explode(ft.tokens(F.col("text"))).alias("alias"))
-    return w.join(F.broadcast(one), "alias").groupBy("conv_id", "who").agg(F.count("*").alias("n"))  # at most sixty aliases
+    return w.join(one, "alias").groupBy("conv_id", "who").agg(F.count("*").alias("n"))
 
 
 def f24(s, d):
@@ -222,7 +222,7 @@ QUERIES = {
     "F-19_token_window": (f19, "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations) SELECT conv_id, turn, array_to_string(w[greatest(len(w) // 2 - 3, 1):greatest(len(w) // 2 - 3, 1) + 8], ' ') AS window FROM w"),
     "F-21_capitalised": (f21, "WITH w AS (SELECT unnest(regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)', 1)) AS w FROM documents) SELECT w[1] AS c, count(*) AS n FROM w WHERE lower(w) NOT IN ('the', 'of', 'and') GROUP BY 1"),
     "F-22_quotes": (f22, "WITH q AS (SELECT doc_id, regexp_extract_all(text, '\"([^\"\\n]{3,80})\"', 1) AS q FROM documents) SELECT doc_id, array_to_string(list_transform(q, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), '|') AS quotes FROM q WHERE len(q) > 0"),
-    "F-23_aliases": (f23, "WITH a AS (SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS alias, doc_id % 12 AS who FROM documents WHERE doc_id < 60), o AS (SELECT alias, min(who) AS who FROM a WHERE length(alias) >= 2 GROUP BY 1 HAVING count(*) = 1), w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS alias FROM conversations) SELECT conv_id, who, count(*) AS n FROM w JOIN o USING (alias) GROUP BY 1, 2"),
+    "F-23_aliases": (f23, "WITH a AS (SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS alias, doc_id % 12 AS who FROM documents), o AS (SELECT alias, min(who) AS who FROM a WHERE length(alias) >= 2 GROUP BY 1 HAVING count(*) = 1), w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS alias FROM conversations) SELECT conv_id, who, count(*) AS n FROM w JOIN o USING (alias) GROUP BY 1, 2"),
     "F-24_nested_values": (f24, "SELECT CAST(json_extract_string(props, '$.k') AS INT) >= 50 AS large, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1"),
     "F-26_shell_touches": (f26, None),
     "F-30_masked": (f30, "WITH m AS (SELECT doc_id, text, regexp_replace(text, 'token = \"[0-9a-f]{20,}\"', 'token = \"***\"', 'g') AS t FROM documents) SELECT doc_id, sha256(t) AS masked, t <> text AS had FROM m"),

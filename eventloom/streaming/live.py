@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators import shift
+from eventloom.shared import shared_dir
 
 
 def stream_blocks(events: DataFrame, ts: str, gap_s: int, by: list[str], late: str = "1 hour") -> DataFrame:
@@ -28,11 +29,21 @@ def stream_daily(events: DataFrame, ts: str, by: list[str], late: str = "1 hour"
     return e.groupBy(*by, F.window("_t", "1 day")).agg(F.count("*").alias("n")).select(*by, F.col("window.start").cast("date").alias("date"), "n")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All there is now, as a table in memory: for tests and small results."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that the stream gives for what there is now, as a table in the shared folder; nothing is gathered at the driver.
+
+    append writes files as rows become final. Other modes write each batch's whole result over the last one's, from
+    the executors.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", path).start()
+    else:
+        q = w.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def stream_candidates(left: DataFrame, right: DataFrame, by: list[str], ts: str, lo_s: float, hi_s: float, late: str = "1 hour") -> DataFrame:
@@ -49,10 +60,11 @@ def stream_candidates(left: DataFrame, right: DataFrame, by: list[str], ts: str,
     return a.join(b, same & close).select(*by, "lid", "rid", ((F.unix_micros("rt") - F.unix_micros("lt")) / 1e6).alias("dt"))
 
 
-def stream_runs(points: DataFrame, by: str, order: str, x: str, hazard: float, most: int = 2000) -> DataFrame:
+def stream_runs(points: DataFrame, by: str, order: str, x: str, hazard: float) -> DataFrame:
     """(by, order, run): Bayesian online run lengths; the posterior of each series is state between batches.
 
-    Rows of a series come in order of batches, and are sorted within one. Run lengths beyond `most` are put together.
+    Rows of a series come in order of batches, and are sorted within one. The state has five numbers for each point
+    that the series has had so far.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -61,8 +73,6 @@ def stream_runs(points: DataFrame, by: str, order: str, x: str, hazard: float, m
         at, lengths = held, []
         for v in rows["x"].to_numpy(float):
             at, length = shift.bocpd_step(at, float(v), hazard)
-            if len(at[0]) > most:
-                at = [a[:most] for a in at]
             lengths.append(length)
         state.update(tuple(a.tolist() for a in at))
         yield pd.DataFrame({"by": key[0], "o": rows["o"].to_numpy(), "run": lengths})

@@ -55,7 +55,7 @@ def test_greedy_match_is_the_sequential_pass(spark):
 def test_window_candidates_have_closed_ends(spark):
     a = spark.createDataFrame([(1, "u", at(0)), (2, "u", at(100))], "id int, k string, ts timestamp_ntz")
     b = spark.createDataFrame([(7, "u", at(0)), (8, "u", at(60)), (9, "u", at(60.000001)), (10, "v", at(1))], "id int, k string, ts timestamp_ntz")
-    got = asof.window_candidates(a, b, ["k"], "id", "ts", "id", "ts", 0, 60).collect()
+    got = asof.window_candidates(a, b, ["k"], "id", "ts", "id", "ts", 0, 60, 16).collect()
     assert sorted((r.lid, r.rid) for r in got) == [(1, 7), (1, 8)]
 
 
@@ -85,7 +85,7 @@ def test_stream_state_gives_what_the_batch_gives(spark, tmp_path):
     for part in (range(0, 18), range(18, 40)):  # two batches
         spark.createDataFrame([("s", int(i), float(x[i])) for i in part], "series string, day int, x double").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("series string, day int, x double").option("maxFilesPerTrigger", 1).parquet(path)
-    got = live.run_to_memory(live.stream_runs(stream, "series", "day", "x", 0.05), "runs_test", "append").orderBy("o").collect()
+    got = live.run_to_files(live.stream_runs(stream, "series", "day", "x", 0.05), "runs_test", "append").orderBy("o").collect()
     assert [r.run for r in got] == shift.bocpd(x, 0.05).tolist()
 
 
