@@ -54,19 +54,38 @@ def canonical(kind: str, m: re.Match) -> str:
     return canon_number(repr(value)) + ("%" if kind == "percent" else "")
 
 
-def anchors(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value), by place."""
+def anchors(text: str | None, names: dict[str, str] | None = None) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, value), by place. names: of actors, in small letters, with what each stands for; the longest is found."""
     out: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
-    for kind, pattern in KINDS:
+    kinds = list(KINDS)
+    if names:
+        one = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+        kinds.insert(2, ("actor", re.compile(rf"(?i)(?<!\w)(?:{one})(?!\w)")))
+    for kind, pattern in kinds:
         for m in pattern.finditer(text or ""):
             a, b = m.span()
             if not any(x < b and a < y for x, y in taken):
                 taken.append((a, b))
-                out.append((a, b, kind, canonical(kind, m)))
+                out.append((a, b, kind, names[m.group().lower()] if kind == "actor" else canonical(kind, m)))
     return sorted(out)
 
 
+_PLAIN = frozenset("the a an of in on at to by for and or is was are were be it its this that with from as".split())
+
+
+def context_key(text: str, start: int, end: int) -> str | None:
+    """The word that says what a fact is about: the nearest before it in its sentence that is not a plain one, else after it.
+
+    It stands for the syntactic head, which a parser would give; there is no model for that here.
+    """
+    before = re.split(r"[.!?\n](?:\s|$)", text[:start])[-1]
+    after = re.split(r"[.!?\n](?:\s|$)", text[end:])[0]
+    words = lambda s: [w for w in re.findall(r"[^\W\d_]{2,}", s.lower()) if w not in _PLAIN]
+    left, right = words(before), words(after)
+    return left[-1] if left else right[0] if right else None
+
+
 _TYPE = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 

@@ -11,14 +11,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = re.compile(r"https?://[^\s<>\"'`]+|git@[\w.-]+:[\w./-]+|(?<![\w./-])(?:/(?:home|root|tmp|data|srv|usr|opt|var)(?:/[\w.@+-]+)+|~(?:/[\w.@+-]+)+)")
+_STOPS = r"""\s<>"'`\\|"""
+_NAME = r"[\w.-]+"
+#: What may be a reference, each alternative under its name; lookbehinds keep paths out of URLs and words.
+CANDIDATE = re.compile(
+    "|".join(
+        (
+            rf"(?P<url>(?i:https?)://[^{_STOPS}]+)",
+            rf"(?P<bare>(?<![\w./@-])(?i:www\.{_NAME}|(?:github|gitlab)\.com|bitbucket\.org|(?:docs|drive|sheets|slides)\.google\.com)/[^{_STOPS}]*)",
+            rf"(?P<remote>(?:ssh://)?git@{_NAME}[:/][\w./-]+)",
+            rf"(?P<api>\b(?:gh|glab)\s+api\b[^\n;|&]*?[\s\"']/?(?:repos|projects)/[^{_STOPS}]+)",
+            rf"(?P<named>\b(?:gh|glab)\s+repo\s+[a-z][a-z-]*\s+[\"']?{_NAME}(?:/{_NAME})+)",
+            rf"(?P<option>\b(?:gh|glab)\b[^\n;|&]*?\s(?:-R|--repo)[\s=]+[\"']?[\w.:/-]+)",
+            r"(?P<path>(?<![\w./~-])(?:~|\$HOME|\$\{HOME\}|\.\.?)?(?:/[\w.@+-]+)+)",
+        )
+    )
+)
+#: Folders at the top under which absolute paths name somebody's files; others are mostly routes of sites or the system's.
+PATH_ROOTS = frozenset("home root tmp workspace workspaces mnt media opt srv var data app Users usr scratch".split())
 _TRACKING = re.compile(r"^(?:utm_.*|ref|fbclid|gclid|v|cb|t|ts|_)$", re.I)
 _SECRET = re.compile(r"^(?:token|key|api_?key|sig|signature|auth|access_token|password|secret)$", re.I)
-_TOKENISH = re.compile(r"(?:gh[opsu]_|sk-|xox[abp]-)[A-Za-z0-9_-]{10,}|\b[0-9a-f]{32,}\b")
+_TOKENISH = re.compile(r"(?:gh[oprsu]_|github_pat_|glpat-|sk-|xox[abprs]-|AKIA|AIza)[A-Za-z0-9_-]{10,}|\beyJ[\w-]{10,}\.[\w-]{10,}(?:\.[\w-]*)?|\b[0-9a-f]{32,}\b")
+#: Parts of names of parameters that hold something secret, and whole names that only look like it.
+_SECRET_PART = re.compile(r"token|secret|passw(?:or)?d|apikey|accesskey|signature|credential|jwt|privatekey")
+_NOT_SECRET = frozenset(("tokenid", "tokentype", "maxtokens", "tokenusage"))
 _PORTS = {"http": ":80", "https": ":443"}
 #: Hosts of code and of shared documents, and how much of their paths names a thing.
 _CODE = {"github.com": 2, "gitlab.com": 2, "bitbucket.org": 2}
-_SUBRESOURCES = {"issues": "issue", "pull": "pull", "merge_requests": "pull", "commit": "commit", "blob": "file", "tree": "tree", "wiki": "wiki", "releases": "release"}
+_SUBRESOURCES = {"issues": "issue", "work_items": "issue", "pull": "pull", "pulls": "pull", "merge_requests": "pull", "commit": "commit", "commits": "commit", "blob": "file", "raw": "file", "blame": "file", "tree": "tree", "wiki": "wiki", "releases": "release"}
 
 
 def strip_trailing(s: str) -> str:
@@ -35,7 +55,9 @@ def strip_trailing(s: str) -> str:
 
 
 def is_secret_param(name: str) -> bool:
-    return bool(_SECRET.match(name))
+    """Whether a parameter's name says that its value is secret; case, dashes and underlines do not matter."""
+    plain = re.sub(r"[-_]", "", unquote(name).strip().lower())
+    return plain not in _NOT_SECRET and bool(_SECRET.match(name) or _SECRET.match(plain) or _SECRET_PART.search(plain))
 
 
 def redact(s: str) -> str:
@@ -55,47 +77,95 @@ def normalize_url(url: str) -> str | None:
     return redact(f"{scheme}://{host}{m[3].rstrip('/')}" + ("?" + "&".join(kept) if kept else ""))
 
 
+def _code(host: str, parts: list[str]) -> str | None:
+    """code:host/owner/name[#kind:id] of the parts of a path on a host of code; groups in groups where a dash ends them."""
+    parts = [unquote(p) for p in parts if p]
+    if "-" in parts:
+        at = parts.index("-")
+        project, rest = parts[:at], parts[at + 1 :]
+    else:
+        at = next((i for i, p in enumerate(parts) if i >= 2 and p in _SUBRESOURCES), len(parts) if host == "gitlab.com" else 2)
+        project, rest = parts[:at], parts[at:]
+    if len(project) < 2:
+        return None
+    name = f"code:{host}/{'/'.join(project).lower().removesuffix('.git')}"
+    if len(rest) >= 2 and rest[0] in _SUBRESOURCES:
+        kind, tail = _SUBRESOURCES[rest[0]], rest[1:]
+        if kind in ("file", "tree") and len(tail) > 1:
+            tail = tail[1:]  # what comes after the branch
+        if kind in ("issue", "pull") and not tail[0].isdigit():
+            return name
+        name += f"#{kind}:{tail[0] if kind in ('issue', 'pull', 'commit') else '/'.join(tail)}"
+    return name
+
+
+def _document(path: str, query: str) -> str | None:
+    """doc:id of a shared document's or folder's address."""
+    m = re.search(r"(?:/|^)(?:d(?:/e)?|folders)/([\w-]{10,})", path) or re.search(r"(?:^|&)id=([\w-]{10,})", query)
+    return f"doc:{m[1]}" if m else None
+
+
 def reference(candidate: str) -> str | None:
     """A candidate's reference: code:host/owner/name[#kind:id], doc:id, url, or path."""
+    m = CANDIDATE.match(candidate)
+    kind = m.lastgroup if m else "url"
     s = strip_trailing(candidate)
-    if s.startswith("git@"):
-        host, _, path = s[4:].partition(":")
-        parts = path.removesuffix(".git").strip("/").split("/")
-        return f"code:{host.lower()}/{'/'.join(parts[:2]).lower()}" if len(parts) >= 2 and all(parts[:2]) else None
-    if s.startswith(("/", "~")):
+    if kind == "remote":
+        host, path = re.split("[:/]", s.removeprefix("ssh://").removeprefix("git@"), maxsplit=1)
+        return _code(host.lower(), [*path.removesuffix(".git").strip("/").split("/"), "-"])
+    if kind in ("named", "option"):
+        host = "gitlab.com" if s.startswith("glab") else "github.com"
+        last = re.split(r"[\s=\"']+", s)[-1]
+        if "://" in last or last.startswith("git@"):
+            return reference(last)
+        return _code(host, [*last.split("/"), "-"])
+    if kind == "api":
+        host, where = ("gitlab.com", "projects") if s.startswith("glab") else ("github.com", "repos")
+        tail = s.split(f"{where}/", 1)[-1].split("?")[0]
+        if host == "gitlab.com":
+            first, _, more = tail.partition("/")
+            return _code(host, [*unquote(first).split("/"), "-", *more.split("/")])
+        return _code(host, tail.split("/"))
+    if kind == "path":
         return normalize_path(s)
-    url = normalize_url(s)
+    url = normalize_url(s if "://" in s else f"https://{s}")
     if not url:
         return None
     host, _, path = url.split("://", 1)[1].partition("/")
-    path = path.split("?")[0]
-    if (m := re.match(r"(?:document|spreadsheets|presentation|file)/d/([\w-]{10,})", path)) and host.startswith(("docs.", "drive.", "sheets.")):
-        return f"doc:{m[1]}"
-    depth = _CODE.get(host.removeprefix("www."))
-    parts = [unquote(p) for p in path.split("/") if p]
-    if depth and len(parts) >= depth:
-        name = f"code:{host.removeprefix('www.')}/{'/'.join(parts[:depth]).lower().removesuffix('.git')}"
-        rest = [p for p in parts[depth:] if p != "-"]
-        if len(rest) >= 2 and rest[0] in _SUBRESOURCES:
-            name += f"#{_SUBRESOURCES[rest[0]]}:{'/'.join(rest[1:])}"
-        return name
-    return url
+    host = host.removeprefix("www.")
+    path, _, query = path.partition("?")
+    if re.fullmatch(r"(?:docs|drive|sheets|slides|forms)\.google\.com", host):
+        return _document(path, query) or url
+    if host in ("raw.githubusercontent.com", "api.github.com"):
+        parts = path.split("/")
+        if host[0] == "r" and len(parts) > 3:
+            parts = [*parts[:2], "blob", *parts[2:]]
+        return _code("github.com", parts[1:] if parts[0] == "repos" else parts) or url
+    return (_code(host, path.split("/")) if host in _CODE else None) or url
 
 
 def normalize_path(path: str) -> str | None:
-    """A path without doubled or dotted parts, and no slash at its end; None if nothing is left of it."""
+    """A path without doubled or dotted parts, and no slash at its end; None if nothing is left of it.
+
+    A home folder in a variable is ~. Absolute paths count only below PATH_ROOTS; a path that goes up from where it
+    stands keeps its dots.
+    """
+    path = re.sub(r"^(?:\$HOME|\$\{HOME\})(?=/|$)", "~", path)
+    lead = "~" if path.startswith("~") else "/" if path.startswith("/") else ""
     out: list[str] = []
-    for p in path.split("/"):
+    for p in path.split("/")[1 if lead else 0 :]:
         if p in ("", "."):
             continue
         if p == "..":
-            if out:
+            if out and out[-1] != "..":
                 out.pop()
-            continue
+                continue
+            if lead:
+                continue
         out.append(p)
-    if len(out) < 2:
+    if not out or out[-1] == ".." or (lead == "/" and (len(out) < 2 or out[0] not in PATH_ROOTS)):
         return None
-    return ("" if path.startswith("~") else "/") + "/".join(out)
+    return redact({"~": "~/", "/": "/", "": "" if out[0] == ".." else "./"}[lead] + "/".join(out))
 
 
 def extract(text: str | None) -> list[str]:
@@ -123,8 +193,8 @@ def _extracted(texts: pd.Series) -> pd.Series:
 
 
 def with_refs(df: DataFrame, text: str, name: str = "refs") -> DataFrame:
-    """df with the references of each text. Texts without a slash or an @ do not go to Python."""
-    some = F.col(text).contains("/") | F.col(text).contains("git@")
+    """df with the references of each text. Texts without a slash do not go to Python: every candidate has one."""
+    some = F.col(text).contains("/")
     return df.withColumn(name, F.when(some, F.pandas_udf(_extracted, "array<string>")(F.col(text))).otherwise(F.array().cast("array<string>")))
 
 

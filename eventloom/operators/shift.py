@@ -68,12 +68,16 @@ PRIOR = (0.0, 1.0, 1.0, 1.0)
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
+def student_t_logpdf(x: np.ndarray, df: np.ndarray | float, loc: np.ndarray | float, scale: np.ndarray | float) -> np.ndarray:
+    """Log density of Student's t with a place and a scale."""
+    df = np.asarray(df, float)
+    return _lgamma((df + 1) / 2) - _lgamma(df / 2) - 0.5 * np.log(df * math.pi * np.square(scale)) - (df + 1) / 2 * np.log1p(np.square((x - loc) / scale) / df)
+
+
 def bocpd_step(state: list[np.ndarray] | None, v: float, hazard: float) -> tuple[list[np.ndarray], int]:
     """The posterior over run lengths (log-weights and Normal-Gamma values) after one more point, and the likeliest run length."""
     logp, m, k, a, b = state if state is not None else [np.zeros(1), *(np.array([x]) for x in PRIOR)]
-    scale = b * (k + 1) / (a * k)
-    pred = _lgamma(a + 0.5) - _lgamma(a) - 0.5 * np.log(2 * a * math.pi * scale) - (a + 0.5) * np.log1p((v - m) ** 2 / (2 * a * scale))
-    joint = logp + pred
+    joint = logp + student_t_logpdf(v, 2 * a, m, np.sqrt(b * (k + 1) / (a * k)))
     top = joint.max()
     change = top + math.log(np.exp(joint - top).sum()) + math.log(hazard)
     logp = np.concatenate(([change], joint + math.log1p(-hazard)))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir. In local mode, as in tests, a new temporary one where it is unset; on a
+    cluster that raises, for executors would write to their own discs."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='eventloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,3 +35,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def signature(df: DataFrame) -> str:
+    """What tells a table from another: its columns, and the number of its rows with two sums of their hashes; the order of rows does not count."""
+    h = F.xxhash64(*(F.col(c) for c in df.columns))
+    half = F.lit((1 << 32) - 1)
+    n, low, high = df.agg(F.count("*"), F.sum(h.bitwiseAND(half)), F.sum(F.shiftrightunsigned(h, 32))).first()
+    return hashlib.sha256(repr((df.dtypes, n, low, high)).encode()).hexdigest()[:32]
+
+
+def cached(tag: str, version: str, inputs: list[DataFrame], make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """(table, whether it was there): make()'s table, kept in the shared folder under its version and its inputs' signatures.
+
+    A table counts as there once its last file has been committed; a run that died in between is made again.
+    """
+    spark = inputs[0].sparkSession
+    key = hashlib.sha256(repr((tag, version, [signature(i) for i in inputs])).encode()).hexdigest()[:32]
+    path = f"{shared_dir(spark)}/cache/{tag}-{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    if not there:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), there
