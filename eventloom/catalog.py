@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import analysis, extraction, inference, joins, relational, studies, texts, timeline
+from eventloom.plans import analysis, checks, extraction, inference, joins, relational, studies, texts, timeline
 
 FLAGSHIP = "S-01_run_blocks"
-PLANS = (timeline, joins, relational, analysis, studies, texts, inference, extraction)
+PLANS = (timeline, joins, relational, analysis, studies, texts, inference, extraction, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators import pointfit
+
 
 def pairs(events: DataFrame, by: str, event_id: str, t: str, kind: str, reach: float) -> DataFrame:
     """(by, target, source, i, j, dt): earlier events of the same realization within reach; ties are no pairs.
@@ -48,52 +50,9 @@ def exposure(events: DataFrame, by: str, t: str, kind: str, length: Column, beta
 
 
 def fit_em(t: np.ndarray, kind: np.ndarray, n_kinds: int, length: float, betas: np.ndarray, reach: float, tol: float = 1e-7, most: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """(mu, alpha[i, j, m], log-likelihood) of one realization by expectation-maximization."""
-    order = np.argsort(t, kind="stable")
-    t, kind = t[order], kind[order]
-    n, m = len(t), len(betas)
-    first = np.searchsorted(t, t - reach, "left")
-    last = np.searchsorted(t, t, "left")
-    sizes = last - first
-    c = np.repeat(np.arange(n), sizes)
-    p = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-    phi = betas * np.exp(-np.outer(t[c] - t[p], betas))
-    g = np.zeros((n_kinds, m))
-    np.add.at(g, kind, 1 - np.exp(-np.outer(np.minimum(reach, length - t), betas)))
-    mu = np.bincount(kind, minlength=n_kinds) / max(length, 1e-9)
-    alpha = np.full((n_kinds, n_kinds, m), 0.1 / (n_kinds * m))
-    pair = kind[c] * n_kinds + kind[p]
-
-    def step(theta: np.ndarray) -> tuple[np.ndarray, float]:
-        """One update of expectation and maximization, and the log-likelihood before it."""
-        mu, alpha = theta[:n_kinds], theta[n_kinds:].reshape(-1, m)
-        v = alpha[pair] * phi
-        lam = mu[kind] + np.bincount(c, v.sum(axis=1), n)
-        ll = float(np.log(lam).sum() - mu.sum() * length - (alpha.reshape(n_kinds, n_kinds, m) * g[None]).sum())
-        r = v / lam[c][:, None]
-        s = np.stack([np.bincount(pair, r[:, k], n_kinds * n_kinds) for k in range(m)], axis=1)
-        new = s.reshape(n_kinds, n_kinds, m) / np.maximum(g[None], 1e-12)
-        return np.concatenate([np.maximum(np.bincount(kind, mu[kind] / lam, n_kinds) / length, 1e-12), np.maximum(new, 1e-12).ravel()]), ll
-
-    theta, old = np.concatenate([np.maximum(mu * 0.5, 1e-12), alpha.ravel()]), -np.inf
-    for _ in range(most):
-        one, ll = step(theta)
-        if abs(ll - old) <= tol * max(1.0, abs(ll)):
-            break
-        old = ll
-        # Squared extrapolation; kept only if it is no worse than the plain steps.
-        two, ll_one = step(one)
-        r, v = one - theta, two - 2 * one + theta
-        norm = np.linalg.norm(v)
-        if norm < 1e-300:
-            theta = two
-            continue
-        far = min(-1.0, -np.linalg.norm(r) / norm)
-        leap = np.maximum(theta - 2 * far * r + far * far * v, 1e-3 * two)
-        after, ll_leap = step(leap)
-        theta = after if ll_leap >= ll_one else two
-    mu, alpha = theta[:n_kinds], theta[n_kinds:].reshape(n_kinds, n_kinds, m)
-    return mu, alpha, old
+    """(mu, alpha[i, j, m], log-likelihood) of one realization; see pointfit."""
+    f = pointfit.fit(pointfit.design(t, kind, n_kinds, length, betas, reach), tol=tol, most=most)
+    return f.mu, f.alpha, f.loglik
 
 
 def fit_windows(events: DataFrame, by: str, t: str, kind: str, n_kinds: int, length: float, betas: list[float], reach: float) -> DataFrame:

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
 def unit(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that the seed and keys decide."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) that the seed and keys decide: 48 bits of a hash that every engine has."""
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    return F.conv(F.substring(hashed, 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def poisson1(u: Column, most: int = 8) -> Column:
-    """A Poisson variable of mean 1 from a uniform one, by its distribution function."""
-    import math
+def unit_sql(seed: int, *keys: str) -> str:
+    """The same as SQL."""
+    parts = " || '|' || ".join([f"'{seed}'", *(f"CAST({k} AS VARCHAR)" for k in keys)])
+    return f"(CAST('0x' || substr(md5({parts}), 1, 12) AS BIGINT) / {float(1 << 48)!r})"
 
-    out, cum = F.lit(most), 0.0
-    steps = []
+
+def _poisson_steps(most: int) -> list[tuple[float, int]]:
+    steps, cum = [], 0.0
     for k in range(most):
         cum += math.exp(-1) / math.factorial(k)
         steps.append((cum, k))
-    for c, k in reversed(steps):
+    return steps
+
+
+def poisson1_sql(u: str, most: int = 8) -> str:
+    return "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for c, k in _poisson_steps(most)) + f" ELSE {most} END"
+
+
+def poisson1(u: Column, most: int = 8) -> Column:
+    """A Poisson variable of mean 1 from a uniform one, by its distribution function."""
+    out = F.lit(most)
+    for c, k in reversed(_poisson_steps(most)):
         out = F.when(u < c, k).otherwise(out)
     return out
 

@@ -63,6 +63,64 @@ def segment_optimal(x: np.ndarray, penalty: float, least: int) -> list[int]:
     return out[::-1]
 
 
+def bandwidth(x: np.ndarray) -> float:
+    """One over the median squared distance of two different points; 1 where that is 0."""
+    d = np.square(x[:, None] - x[None])[np.triu_indices(len(x), 1)]
+    mid = float(np.median(d)) if len(d) else 0.0
+    return 1 / mid if mid > 0 else 1.0
+
+
+def pelt_kernel(x: np.ndarray, penalty: float, least: int, gamma: float | None = None) -> list[int]:
+    """Starts of the segments but the first, for the spread around segment means in the space of the Gaussian kernel.
+
+    A segment's cost is its length less the mean of its block of the kernel's matrix, whose prefix sums take n * n
+    numbers: a series is as long as its calendar.
+    """
+    n = len(x)
+    gram = np.exp(-(bandwidth(x) if gamma is None else gamma) * np.square(x[:, None] - x[None]))
+    total = np.zeros((n + 1, n + 1))
+    total[1:, 1:] = gram.cumsum(axis=0).cumsum(axis=1)
+    best = np.full(n + 1, np.inf)
+    best[0] = -penalty
+    back = np.zeros(n + 1, int)
+    for e in range(least, n + 1):
+        a = np.arange(0, e - least + 1)
+        block = total[e, e] - total[a, e] - total[e, a] + total[a, a]
+        cost = best[a] + (e - a) - block / (e - a)
+        k = int(np.argmin(cost))
+        best[e], back[e] = cost[k] + penalty, a[k]
+    out, e = [], n
+    while e > 0 and back[e] > 0:
+        e = int(back[e])
+        out.append(e)
+    return out[::-1]
+
+
+def series_summary(df: DataFrame, by: str, order: str, x: str, least: int = 5, beta: float = 2.0) -> DataFrame:
+    """A row for each series: whether it could be searched (ok, short, constant), its points, and what each method finds (places joined by commas).
+
+    A series is one task. Values are scaled by the noise of their differences. Nulls are left out.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["x"]).sort_values("o")
+        v, o = pdf["x"].to_numpy(float), pdf["o"].to_numpy()
+        status = "short" if len(v) < 2 * least else "constant" if np.ptp(v) == 0 else "ok"
+        found: dict[str, list[int]] = {"means": [], "kernel": [], "online": []}
+        if status == "ok":
+            d = np.diff(v)
+            sigma = np.median(np.abs(d - np.median(d))) / 0.67449 / math.sqrt(2) or d.std() / math.sqrt(2)
+            z = (v - np.median(v)) / sigma
+            found["means"] = pelt(z, beta * math.log(len(z)), least)
+            found["kernel"] = pelt_kernel(z, 0.5 * math.log(len(z)), least)
+            length = bocpd(z, 0.01)
+            found["online"] = [i for i in range(1, len(z)) if length[i] < length[i - 1]]
+        return pd.DataFrame({"by": [key[0]], "status": [status], "n": [len(v)], **{k: [",".join(str(o[i]) for i in at)] for k, at in found.items()}})
+
+    rows = df.select(F.col(by).cast("string").alias("by"), F.col(order).cast("long").alias("o"), F.col(x).cast("double").alias("x"))
+    return rows.groupBy("by").applyInPandas(run, "by string, status string, n long, means string, kernel string, online string")
+
+
 #: Prior of a segment's mean and precision: mean, kappa, alpha, beta.
 PRIOR = (0.0, 1.0, 1.0, 1.0)
 _lgamma = np.vectorize(math.lgamma, otypes=[float])

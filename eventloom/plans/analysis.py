@@ -272,12 +272,28 @@ FROM (SELECT unit, day, bit_or(1 << CAST(actor % 10 AS INT)) AS m FROM o GROUP B
 
 def tr18(s, d):
     li = table(s, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_discount").alias("num"), F.count("*").cast("double").alias("den"))
-    return resample.bootstrap_ratio(li, ["l_returnflag"], "l_suppkey", "num", "den", 200)
+    got = resample.bootstrap_ratio(li, ["l_returnflag"], "l_suppkey", "num", "den", 200)
+    return got.select("l_returnflag", *(F.round(c, R).alias(c) for c in ("ratio", "lo", "hi")))
+
+
+TR18 = f"""
+WITH c AS (SELECT l_returnflag, l_suppkey, sum(l_discount) AS num, count(*) AS den FROM lineitem GROUP BY 1, 2),
+     w AS (SELECT c.*, rep, {resample.poisson1_sql(resample.unit_sql(1, "rep", "l_suppkey"))} AS w FROM c, range(200) t(rep)),
+     b AS (SELECT l_returnflag, rep, sum(w * num) / sum(w * den) AS r FROM w GROUP BY 1, 2)
+SELECT l_returnflag, round(any_value(ratio), 6) AS ratio, round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi FROM b JOIN (SELECT l_returnflag, sum(num) / sum(den) AS ratio FROM c GROUP BY 1) USING (l_returnflag) GROUP BY 1"""
 
 
 def tr17(s, d):
     x = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("n")), "doc_id")
-    return resample.permutation_test(x.select("doc_id", "lang", "quality", "n"), "lang", "quality", "n", "doc_id", 99)
+    got = resample.permutation_test(x.select("doc_id", "lang", "quality", "n"), "lang", "quality", "n", "doc_id", 99)
+    return got.select(F.round("diff", R).alias("diff"), F.round("p", R).alias("p"))
+
+
+TR17 = f"""
+WITH x AS (SELECT doc_id, lang, quality, n_chars AS n FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, sum(quality) AS n1 FROM x GROUP BY 1),
+     d AS (SELECT rep, n, row_number() OVER (PARTITION BY rep, lang ORDER BY {resample.unit_sql(2, "rep", "doc_id")}, doc_id) <= n1 AS one FROM x JOIN c USING (lang), range(99) t(rep)),
+     u AS (SELECT rep, avg(n) FILTER (one) - avg(n) FILTER (NOT one) AS d FROM d GROUP BY 1), o AS (SELECT avg(n) FILTER (quality = 1) - avg(n) FILTER (quality = 0) AS diff FROM x)
+SELECT round(diff, 6) AS diff, round((1 + count(*) FILTER (abs(d) >= abs(diff))) / (1 + count(*)), 6) AS p FROM u, o GROUP BY o.diff"""
 
 
 # ---------------------------------------------------------------- change points
@@ -483,8 +499,8 @@ QUERIES = {
     "TR-11_posterior": (lambda s, d: _post(s, d).withColumn("post", F.round("post", R)), POST + "\nSELECT unit, child, parent, dt, round(post, 6) AS post FROM p"),
     "TR-12_likeliest": (lambda s, d: transmit.likeliest(_post(s, d)).withColumn("post", F.round("post", R)), MAP + "\nSELECT child, parent, round(post, 6) AS post FROM m"),
     "TR-14_forest": (tr14, TR14),
-    "TR-17_permutation": (tr17, None),
-    "TR-18_bootstrap": (tr18, None),
+    "TR-17_permutation": (tr17, TR17),
+    "TR-18_bootstrap": (tr18, TR18),
     "TR-20_adjacent_correlation": (tr20, TR20),
     "TR-22_attractor": (tr22, TR22),
     "TR-24_seen_groups": (tr24, TR24),

@@ -93,7 +93,7 @@ SELECT child AS node FROM f"""
 def tr25(s, d):
     """The mean interval of drawn forests."""
     draws = st.tr13(s, d).join(an._cand(s, d).select("child", "parent", "dt"), ["child", "parent"])
-    return draws.groupBy("draw").agg(F.count("*").alias("n"), F.avg("dt").alias("mean"))
+    return draws.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.avg("dt"), R).alias("mean"))
 
 
 def tr28(s, d):
@@ -298,7 +298,7 @@ QUERIES = {
     "TR-09_interval_density": (tr09, None),
     "TR-10_fallbacks": (tr10, TR10),
     "TR-16_determined": (tr16, TR16),
-    "TR-25_draws": (tr25, None),
+    "TR-25_draws": (tr25, st.TR13.rsplit("\nSELECT", 1)[0] + "\nSELECT draw, count(*) AS n, round(avg(dt), 6) AS mean FROM w JOIN c USING (child, parent) GROUP BY 1"),
     "TR-28_draw_summary": (tr28, "WITH x AS (SELECT l_returnflag, avg(l_discount) AS x FROM lineitem GROUP BY l_returnflag, l_suppkey) SELECT l_returnflag, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi, round(avg(CAST(x < 0.05 AS INT)), 6) AS below FROM x GROUP BY 1"),
     "CP-04_bootstrap_places": (cp04, None),
     "CP-05_online": (cp05, None),

@@ -326,6 +326,12 @@ def tr13(s, d):
     return x.where("cum > u OR cum > 1 - 1e-9").groupBy("draw", "child").agg(F.min("parent").alias("parent"))
 
 
+TR13 = an.POST + f""",
+     q AS (SELECT child, parent, dt, sum(post) OVER (PARTITION BY child ORDER BY parent ROWS UNBOUNDED PRECEDING) AS cum FROM p),
+     w AS (SELECT draw, child, min(parent) AS parent FROM q, range(5) t(draw) WHERE cum > {resample.unit_sql(11, "draw", "child")} OR cum > 1 - 1e-9 GROUP BY 1, 2)
+SELECT draw, child, parent FROM w"""
+
+
 def tr15(s, d):
     """Of each unit and actor, the first occurrence owns the rest."""
     o = an._occ(s, d)
@@ -381,11 +387,17 @@ def cp08(s, d):
 def cp12(s, d):
     """The alignment statistic with points placed anew, uniformly."""
     days = an._entries(s).select(F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("at")).distinct()
-    n = an._points(s, d).select(F.monotonically_increasing_id().alias("k"))
+    n = an._points(s, d).select(F.row_number().over(W.orderBy("at")).alias("k"))  # a row for each kind and date
     x = n.crossJoin(F.broadcast(s.range(200).withColumnRenamed("id", "rep"))).withColumn("at", F.floor(resample.unit(6, F.col("rep"), F.col("k")) * 30).cast("int"))
     return x.join(F.broadcast(days), "at", "left_semi").groupBy("rep").agg(F.count("*").alias("s"))
 
 
+CP12 = an.POINTS + f""",
+     k AS (SELECT row_number() OVER (ORDER BY pt.at) AS k FROM pt), dy AS (SELECT DISTINCT unnest(range(lo - 1, hi + 2)) AS at FROM en),
+     z AS (SELECT rep, CAST(floor({resample.unit_sql(6, "rep", "k")} * 30) AS INT) AS at FROM k, range(200) t(rep))
+SELECT rep, count(*) AS s FROM z WHERE z."at" IN (SELECT dy."at" FROM dy) GROUP BY 1"""
+
+
 def cp15(s, d):
     """Intervals once each, with the groups that have them."""
     x = an.sv08(s, d).select("start", "end", (F.col("user_id") % 4).alias("grp"))
@@ -518,18 +530,18 @@ QUERIES = {
     "SV-04_live_rows": (sv04, SV04),
     "SV-05_value_ids": (sv05, "SELECT event_type, k, CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY k) AS INT) AS vid FROM (SELECT DISTINCT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"),
     "SV-06_fates": (sv06, SV06),
-    "SV-13_simulated": (sv13, None),
+    "SV-13_simulated": (sv13, f"SELECT greatest(CAST(ceil(ln(1 - {resample.unit_sql(4, 'id')}) / ln(0.8)) AS BIGINT), 1) AS g, count(*) AS n FROM range(20000) t(id) GROUP BY 1"),
     "SV-16_rule_comparison": (sv16, SV16),
     "TR-01_units": (tr01, an.CAND.split(",\n     c AS")[0] + "\nSELECT unit, count(*) AS n, count(DISTINCT actor) AS actors, min(day) AS first FROM o GROUP BY 1 HAVING count(*) BETWEEN 3 AND 30 AND count(DISTINCT actor) >= 2"),
     "TR-03_held_words": (tr03, "WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations), g AS (SELECT conv_id, w, min(turn) AS a, max(turn) AS b FROM w GROUP BY 1, 2 HAVING max(turn) > min(turn)) SELECT conv_id, count(*) AS held, max(b - a) AS longest FROM g GROUP BY 1"),
     "TR-08_new_values": (tr08, "WITH f AS (SELECT l_partkey AS unit, arg_min(l_suppkey, (l_shipdate, l_orderkey, l_suppkey)) AS v FROM lineitem GROUP BY 1) SELECT l_partkey AS unit, count(DISTINCT l_suppkey) AS n FROM lineitem JOIN f ON unit = l_partkey WHERE l_suppkey <> v GROUP BY 1"),
-    "TR-13_drawn_parents": (tr13, None),
+    "TR-13_drawn_parents": (tr13, TR13),
     "TR-15_owners": (tr15, an.CAND.split(",\n     c AS")[0] + "\nSELECT occ, first_value(occ) OVER w AS owner, day - first_value(day) OVER w AS after FROM o WINDOW w AS (PARTITION BY unit, actor ORDER BY day, occ)"),
     "TR-19_line": (tr19, an.CAND + ",\n     k AS (SELECT child, count(*) AS k, avg(dt) AS t FROM c GROUP BY 1), g AS (SELECT k, count(*) AS w, avg(t) AS t FROM k GROUP BY 1)\nSELECT round((sum(w) * sum(w * k * t) - sum(w * k) * sum(w * t)) / (sum(w) * sum(w * k * k) - sum(w * k) * sum(w * k)), 6) AS slope FROM g"),
     "TR-23_weights": (tr23, TR23),
     "CP-07_segment_means": (cp07, "WITH x AS (SELECT event_type AS series, CAST(ts AS DATE) - DATE '2024-01-01' AS day, count(*) AS x FROM events GROUP BY 1, 2) SELECT series, round(avg(x) FILTER (day < 15), 6) AS before, round(avg(x) FILTER (day >= 15), 6) AS after FROM x GROUP BY 1"),
     "CP-08_stayers": (cp08, f"WITH x AS (SELECT event_type, user_id, count(*) FILTER (day < 15) AS a, count(*) FILTER (day >= 15) AS b FROM ({DAYS}) GROUP BY 1, 2) SELECT event_type, count(*) AS n, round((avg(b) - avg(a)) / sqrt((var_samp(a) + var_samp(b)) / count(*)), 6) AS t FROM x WHERE a > 0 AND b > 0 GROUP BY 1"),
-    "CP-12_uniform_null": (cp12, None),
+    "CP-12_uniform_null": (cp12, CP12),
     "CP-15_layout": (cp15, f"SELECT start, \"end\", count(*) AS n, array_to_string(list_sort(list(DISTINCT user_id % 4)), ',') AS groups FROM ({an.SV08}) GROUP BY 1, 2"),
     "CP-17_coverage": (cp17, CP17),
     "CP-18_annotation": (cp18, an.POINTS + "\nSELECT pt.at, id AS entry, count(*) AS n FROM pt JOIN range(4) t(id) ON pt.at BETWEEN id * 7 AND id * 7 + 4 + id % 2 GROUP BY 1, 2"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import uuid
 
 import pandas as pd
@@ -109,6 +111,9 @@ def f08(s, d):
     return table(s, d, "pages").select("page_id", refs.hash_owner(r, "salt", ("owner3",)).alias("ref"))
 
 
+F08 = "SELECT page_id, 'code:github.com/' || CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '{'owner3' if i == 3 else 'u_' + hmac.new(b'salt', f'owner{i}'.encode(), hashlib.sha256).hexdigest()[:12]}'" for i in range(7)) + " END || '/name' AS ref FROM pages"
+
+
 def f09(s, d):
     r = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("code:github.com/o/n#issue:"), "page_id")).when(F.col("page_id") % 4 == 1, F.lit("doc:abc")).when(F.col("page_id") % 4 == 2, F.col("url")).otherwise("/tmp/a")
     return table(s, d, "pages").select("page_id", refs.ref_type(r).alias("kind"))
@@ -188,6 +193,11 @@ def f26(s, d):
     return e.groupBy("user_id").applyInPandas(run, "event_id long, mode string, what string, rule string").groupBy("rule", "mode").agg(F.count("*").alias("n"))
 
 
+F26 = """
+SELECT rule, mode, count(*) AS n FROM events JOIN (VALUES (0, 'cd', 'read'), (1, 'redirect', 'write'), (1, 'read', 'read'), (1, 'file_op', 'write'), (2, 'git_commit', 'write'), (2, 'git_push', 'write'), (3, 'http', 'write'),
+       (4, 'cp', 'read'), (4, 'cp', 'write'), (5, 'script', 'read'), (5, 'tee', 'write'), (6, 'heredoc', 'write')) v(c, rule, mode) ON event_id % 7 = c GROUP BY 1, 2"""
+
+
 def f30(s, d):
     masked = F.regexp_replace("text", 'token = "[0-9a-f]{20,}"', 'token = "***"')
     return table(s, d, "documents").select("doc_id", F.sha2(masked, 256).alias("masked"), (masked != F.col("text")).alias("had"))
@@ -212,8 +222,8 @@ QUERIES = {
     "SRC-15_parquet_sink": (src15, "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
     "SRC-16_csv_sink": (src16, "SELECT l_returnflag, format('{:.4f}', round(avg(l_discount), 4)) AS m, format('{:,}', count(*)) AS n FROM lineitem GROUP BY 1"),
     "SRC-19_external_series": (src19, "SELECT p_brand, series, round(avg(x), 4) AS mean FROM (SELECT p_brand, 'p_size' AS series, p_size::DOUBLE AS x FROM part UNION ALL SELECT p_brand, 'p_retailprice', p_retailprice FROM part) GROUP BY 1, 2"),
-    "F-01_references": (f01, None),
-    "F-08_owner_pseudonyms": (f08, None),
+    "F-01_references": (f01, r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](utm_\w+|ref)=[^&]*', '', 'g'), '/+($|\?)', '\1') || ' /tmp/a.txt code:host.org/own/name' AS refs FROM pages"),
+    "F-08_owner_pseudonyms": (f08, F08),
     "F-09_ref_types": (f09, "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'code_issue' WHEN 1 THEN 'doc' WHEN 2 THEN 'url' ELSE 'path' END AS kind FROM pages"),
     "F-10_facts": (f10, None),
     "F-14_literals": (f14, F14),
@@ -224,7 +234,7 @@ QUERIES = {
     "F-22_quotes": (f22, "WITH q AS (SELECT doc_id, regexp_extract_all(text, '\"([^\"\\n]{3,80})\"', 1) AS q FROM documents) SELECT doc_id, array_to_string(list_transform(q, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), '|') AS quotes FROM q WHERE len(q) > 0"),
     "F-23_aliases": (f23, "WITH a AS (SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS alias, doc_id % 12 AS who FROM documents), o AS (SELECT alias, min(who) AS who FROM a WHERE length(alias) >= 2 GROUP BY 1 HAVING count(*) = 1), w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS alias FROM conversations) SELECT conv_id, who, count(*) AS n FROM w JOIN o USING (alias) GROUP BY 1, 2"),
     "F-24_nested_values": (f24, "SELECT CAST(json_extract_string(props, '$.k') AS INT) >= 50 AS large, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1"),
-    "F-26_shell_touches": (f26, None),
+    "F-26_shell_touches": (f26, F26),
     "F-30_masked": (f30, "WITH m AS (SELECT doc_id, text, regexp_replace(text, 'token = \"[0-9a-f]{20,}\"', 'token = \"***\"', 'g') AS t FROM documents) SELECT doc_id, sha256(t) AS masked, t <> text AS had FROM m"),
     "F-31_excerpts": (f31, "SELECT doc_id, substr(text, greatest(instr(lower(text), 'license') - 20, 1), 60) AS excerpt FROM documents WHERE instr(lower(text), 'license') > 0"),
 }

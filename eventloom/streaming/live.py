@@ -80,3 +80,28 @@ def stream_runs(points: DataFrame, by: str, order: str, x: str, hazard: float) -
     rows = points.select(F.col(by).cast("string").alias("by"), F.col(order).cast("long").alias("o"), F.col(x).cast("double").alias("x"))
     state = "logp array<double>, m array<double>, k array<double>, a array<double>, b array<double>"
     return rows.groupBy("by").applyInPandasWithState(run, "by string, o long, run int", state, "append", "NoTimeout")
+
+
+def stream_last_writers(touches: DataFrame, key: str, who: str, t: str) -> DataFrame:
+    """(who, parent, key) of a stream of first touches (a row for each key and toucher): the latest other one that came strictly earlier.
+
+    The state of a key is its latest time, the greatest toucher of that time, and that of the time before. Rows of a
+    key come in order of batches, and are sorted within one; times are numbers.
+    """
+
+    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at, last, before = state.get if state.exists else (None, None, None)
+        rows = pd.concat(list(batches)).sort_values(["t", "who"])
+        out = []
+        for w, now in zip(rows["who"].tolist(), rows["t"].tolist()):
+            if at is None or now > at:
+                at, last, before = now, w, last
+            else:
+                last = max(last, w)
+            if before is not None:
+                out.append((w, before, k[0]))
+        state.update((at, last, before))
+        yield pd.DataFrame(out, columns=["who", "parent", "key"])
+
+    rows = touches.select(F.col(key).cast("long").alias("key"), F.col(who).cast("long").alias("who"), F.col(t).cast("long").alias("t"))
+    return rows.groupBy("key").applyInPandasWithState(run, "who long, parent long, key long", "at long, last long, before long", "append", "NoTimeout")
