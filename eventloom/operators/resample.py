@@ -43,16 +43,17 @@ def poisson1(u: Column, most: int = 8) -> Column:
 def bootstrap_ratio(clusters: DataFrame, by: list[str], cluster: str, num: str, den: str, reps: int, seed: int = 1, level: float = 0.95) -> DataFrame:
     """Ratio of sums in each group with a percentile interval of a Poisson bootstrap over clusters.
 
-    clusters: a row for each group and cluster, already summed. Replicates are rows, and reduce map-side.
+    clusters: a row for each group and cluster, already summed. Replicates are rows, and reduce map-side; one that
+    draws none of a group's clusters has no ratio, and is left out of its interval.
     """
     spark = clusters.sparkSession
     rep = spark.range(reps).withColumnRenamed("id", "rep")
     # A stated number of replicates for every cluster row.
     drawn = clusters.crossJoin(F.broadcast(rep)).withColumn("w", poisson1(unit(seed, F.col("rep"), F.col(cluster))))
-    stat = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(num)) / F.sum(F.col("w") * F.col(den))).alias("r"))
+    stat = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(num)), F.sum(F.col("w") * F.col(den))).alias("r"))
     lo, hi = (1 - level) / 2, (1 + level) / 2
     ends = stat.groupBy(*by).agg(F.percentile("r", F.lit(lo)).alias("lo"), F.percentile("r", F.lit(hi)).alias("hi"))
-    point = clusters.groupBy(*by).agg((F.sum(num) / F.sum(den)).alias("ratio"))
+    point = clusters.groupBy(*by).agg(F.try_divide(F.sum(num), F.sum(den)).alias("ratio"))
     return point.join(ends, by)
 
 

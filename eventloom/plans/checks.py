@@ -200,7 +200,7 @@ SV14 = f"""
 WITH c AS (SELECT CASE WHEN user_id % 10 = 0 THEN 'tenth' WHEN user_id < 20 THEN 'few' ELSE 'rest' END AS scope, user_id, sum(CAST(event_type = 'purchase' AS INT)) AS num, count(*) AS den FROM events GROUP BY 1, 2),
      n AS (SELECT scope, count(*) AS clusters, sum(num) AS x, sum(den) AS n FROM c GROUP BY 1),
      w AS (SELECT c.*, rep, {resample.poisson1_sql(resample.unit_sql(14, "rep", "user_id"))} AS w FROM c, range(100) t(rep)),
-     b AS (SELECT scope, rep, sum(w * num) / sum(w * den) AS r FROM w GROUP BY 1, 2),
+     b AS (SELECT scope, rep, sum(w * num) / nullif(sum(w * den), 0) AS r FROM w GROUP BY 1, 2),
      e AS (SELECT scope, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM b GROUP BY 1),
      z AS (SELECT n.*, e.lo, e.hi, 1.959963984540054 AS z, CAST(x AS DOUBLE) / n AS p FROM n JOIN e USING (scope))
 SELECT scope, clusters, round(p, 6) AS share, CASE WHEN clusters >= 30 THEN 'bootstrap' ELSE 'wilson' END AS by,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import random
+import uuid
 
 import numpy as np
 from hypothesis import given, settings
@@ -85,7 +86,7 @@ def test_stream_state_gives_what_the_batch_gives(spark, tmp_path):
     for part in (range(0, 18), range(18, 40)):  # two batches
         spark.createDataFrame([("s", int(i), float(x[i])) for i in part], "series string, day int, x double").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("series string, day int, x double").option("maxFilesPerTrigger", 1).parquet(path)
-    got = live.run_to_files(live.stream_runs(stream, "series", "day", "x", 0.05), "runs_test", "append").orderBy("o").collect()
+    got = live.run_to_files(live.stream_runs(stream, "series", "day", "x", 0.05), f"runs-{uuid.uuid4().hex}", "append").orderBy("o").collect()
     assert [r.run for r in got] == shift.bocpd(x, 0.05).tolist()
 
 
