@@ -210,6 +210,8 @@ SIMILARITY, RECALL = 0.8, 0.95
 BUCKET = 256
 #: Rows of a bucket up to which pairs are walked; larger ones are explored from one member to the next. Of more rows than HELD, a component goes on with KEPT members.
 WALKED, HELD, KEPT = 512, 1 << 17, 64
+#: Rows that are joined at once.
+STEP = 1 << 15
 
 
 def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -350,10 +352,14 @@ def wide_links(distinct: DataFrame, names: list[str], budget: int = WIDE_BUDGET)
             return [edges(fp[at], fp[root[at]])] if len(at) else [], fp[np.sort(order[np.arange(len(order)) - first < KEPT])]
 
         key, fp = np.zeros(0, np.int64), np.zeros((0, WIDE // 64), np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)])
-            cut = int(np.searchsorted(key != key[-1], False)) if len(key) else 0  # the last bucket may go on
+            held.append((batch.column(0).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)))
+            if sum(len(k) for k, _ in held) < STEP:
+                continue
+            key, fp = (np.concatenate(x) for x in zip((key, fp), *held))
+            held = []
+            cut = int(np.argmax(key == key[-1]))  # the last bucket may go on
             if cut:
                 yield from joined(key[:cut], fp[:cut])
                 key, fp = key[cut:], fp[cut:]
@@ -361,6 +367,7 @@ def wide_links(distinct: DataFrame, names: list[str], budget: int = WIDE_BUDGET)
                 done, fp = fewer(fp)
                 yield from done
                 key = key[: len(fp)]
+        key, fp = (np.concatenate(x) for x in zip((key, fp), *held))
         if len(key):
             yield from joined(key, fp)
 
