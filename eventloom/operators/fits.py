@@ -9,6 +9,8 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.5, tol: float = 1e-10, most: int = 2000) -> tuple[np.ndarray, float]:
@@ -67,6 +69,36 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
+def logistic_by(rows: DataFrame, by: str, xs: list[str], y: str, l2: float = 1e-3, most: int = 30) -> dict[object, np.ndarray]:
+    """Weights (the last for a constant) for each value of `by`, of which there must be few, by Newton's method.
+
+    Each step is one aggregate over rows: sums of gradients and second derivatives, combined before they are
+    shuffled, so a value may hold any number of rows. rows should be written already: they are read at each step.
+    """
+    k = len(xs) + 1
+    cols = [*(F.col(x).cast("double") for x in xs), F.lit(1.0)]
+    w = {r[0]: np.zeros(k) for r in rows.select(by).distinct().collect()}
+    for _ in range(most):
+        known = F.create_map(*(F.lit(v) for key, x in w.items() for v in (key, [float(u) for u in x]))) if w else None
+        if known is None:
+            break
+        held = F.element_at(known, F.col(by))
+        z = sum((F.element_at(held, i + 1) * c for i, c in enumerate(cols)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        told = rows.withColumn("_p", p)
+        grad = [F.sum((F.col("_p") - F.col(y)) * c).alias(f"g{i}") for i, c in enumerate(cols)]
+        hess = [F.sum(F.col("_p") * (1 - F.col("_p")) * cols[i] * cols[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        moved = 0.0
+        for r in told.groupBy(by).agg(*grad, *hess).collect():  # a row for each value
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+            step = np.linalg.solve(h + l2 * np.eye(k), np.array([r[f"g{i}"] for i in range(k)]) + l2 * w[r[by]])
+            w[r[by]] = w[r[by]] - step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-9:
+            break
+    return w
+
+
 def kde(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Gaussian density of x on a grid, with Scott's bandwidth."""
     h = max(float(x.std(ddof=1)) if len(x) > 1 else 1.0, 1e-3) * len(x) ** -0.2

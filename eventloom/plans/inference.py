@@ -48,10 +48,14 @@ def tr06(s, d):
 def tr09(s, d):
     """Density of the log of intervals, where a child has one candidate."""
     c = an._cand(s, d).withColumn("n", F.count("*").over(W.partitionBy("child"))).where("n = 1").groupBy("dt").agg(F.count("*").alias("n"))
-    pdf = c.toPandas()  # a row for each day in reach
-    grid = np.linspace(0, 1.5, 31)
-    x = np.repeat(np.log10(pdf["dt"].to_numpy(float)), pdf["n"].to_numpy(int))
-    return s.createDataFrame(pd.DataFrame({"at": grid, "density": fits.kde(x, grid) if len(x) else np.zeros(len(grid))}))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.linspace(0, 1.5, 31)
+        x = np.repeat(np.log10(pdf["dt"].to_numpy(float)), pdf["n"].to_numpy(int))
+        return pd.DataFrame({"at": grid, "density": fits.kde(x, grid)})
+
+    # A row for each day in reach, in one group.
+    return c.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(run, "at double, density double")
 
 
 def tr10(s, d):
@@ -243,14 +247,11 @@ def ex18(s, d):
     p = an._pairs(s, d).withColumn("x", F.exp(-F.col("dt") / 3600))
     x = p.groupBy("target", "i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("x")).otherwise(0.0)).alias("own"), F.sum(F.when(F.col("i") != F.col("j"), F.col("x")).otherwise(0.0)).alias("other"))
     acts = an._pairs(s, d).select(F.col("source").alias("target")).distinct().withColumn("y", F.lit(1.0))
-    rows = x.join(acts, "target", "left").fillna(0.0, ["y"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = fits.logistic(pdf[["own", "other"]].to_numpy(float), pdf["y"].to_numpy(float))
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "n": [len(pdf)], "own": [w[0]], "other": [w[1]], "base": [w[2]]})
-
-    # A kind of act is one fit: rows of it within six hours of another.
-    return rows.groupBy("i").applyInPandas(run, "i string, n long, own double, other double, base double")
+    rows = materialize(x.join(acts, "target", "left").fillna(0.0, ["y"]).select("i", "own", "other", "y"), "opportunities")
+    found = fits.logistic_by(rows, "i", ["own", "other"], "y")
+    weights = s.createDataFrame([(k, *map(float, w)) for k, w in sorted(found.items())], "i string, own double, other double, base double")
+    # A row for each kind of act.
+    return rows.groupBy("i").agg(F.count("*").alias("n")).join(F.broadcast(weights), "i").select("i", "n", *(F.round(c, 4).alias(c) for c in ("own", "other", "base")))
 
 
 def ex19(s, d):
@@ -268,14 +269,16 @@ def ex24(s, d):
 
 def sv12(s, d):
     """Beta-geometric lifetimes of each group of spells."""
-    pdf = an._risk(s, d).toPandas()  # a row for each group and day
-    rows = []
-    for g, x in pdf.groupby("grp"):
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
         a, b, ll = fits.beta_geometric(x["g"].to_numpy(float), x["at_risk"].to_numpy(float), x["lost"].to_numpy(float))
-        h = x["lost"].sum() / x["at_risk"].sum()
-        flat = x["lost"].sum() * np.log(h) + (x["at_risk"] - x["lost"]).sum() * np.log1p(-h)
-        rows.append((int(g), a, b, ll, float(fits.chi2_tail(2 * (ll - flat), 1))))
-    return s.createDataFrame(rows, "grp long, a double, b double, loglik double, p double")
+        lost, kept = x["lost"].sum(), (x["at_risk"] - x["lost"]).sum()
+        h = lost / x["at_risk"].sum()
+        flat = (lost * np.log(h) if lost else 0.0) + (kept * np.log1p(-h) if kept else 0.0)
+        return pd.DataFrame({"grp": [int(x["grp"].iloc[0])], "a": [a], "b": [b], "loglik": [ll], "p": [float(fits.chi2_tail(2 * (ll - flat), 1))]})
+
+    # A group has a row for each day.
+    return an._risk(s, d).groupBy("grp").applyInPandas(run, "grp long, a double, b double, loglik double, p double")
 
 
 def sv15(s, d):

@@ -229,8 +229,8 @@ def w12(s, d):
     span = 12 * 3600 * 1_000_000
     e = _events(s, d).withColumn("us", micros("ts"))
     own = W.partitionBy("event_type", "user_id").orderBy("us").rangeBetween(-span, -1)
-    all_ = W.partitionBy("event_type").orderBy("us").rangeBetween(-span, -1)
-    return e.select("event_id", F.count("*").over(own).alias("own"), (F.count("*").over(all_) - F.count("*").over(own)).alias("others"))
+    all_ = segment.recent_counts(e, ["event_type"], "event_id", "us", span, 3600 * 1_000_000)
+    return e.select("event_id", F.count("*").over(own).alias("own")).join(all_, "event_id").select("event_id", "own", (F.col("n") - F.col("own")).alias("others"))
 
 
 W12_SQL = """

@@ -261,3 +261,61 @@ def test_references_do_not_leak_secrets():
     for t in ("https://h.org/?access_token=abcdef&x=1", "https://h.org/p/ghp_abcdefghijklmnop", "https://user:pw@h.org/x", "/home/u/sk-abcdefghijklmnop/f"):
         got = " ".join(refs.extract(t))
         assert got and not any(s in got for s in ("abcdef", "pw@"))
+
+
+# ---------------------------------------------------------------- the same by other plans
+
+
+def _times(spark, seed, n):
+    import datetime as dt
+    import random
+
+    r = random.Random(seed)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, r.choice("ab"), t0 + dt.timedelta(seconds=r.choice([r.randrange(3 * 86400), 900 * r.randrange(288)]), microseconds=r.choice([0, 1]))) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz"), rows
+
+
+def test_blocks_do_not_depend_on_buckets(spark):
+    from eventloom.operators import segment
+
+    df, _ = _times(spark, 1, 300)
+    for by in ((), ("k",)):
+        want = sorted(map(tuple, segment.run_blocks(df, "ts", 900, by, bucket_s=86400).collect()))
+        for bucket in (60, 3600, 5000):
+            assert sorted(map(tuple, segment.run_blocks(df, "ts", 900, by, bucket_s=bucket).collect())) == want
+
+
+def test_run_columns_by_lists_and_by_lookup(spark):
+    from eventloom.operators import segment
+
+    df, _ = _times(spark, 2, 120)
+    blocks = segment.run_blocks(df.where("k = 'a'"), "ts", 900).where("block <> 2")
+    got = [sorted(map(str, segment.run_columns(df, blocks, "ts", few=n).collect())) for n in (0, 1 << 20)]
+    assert got[0] == got[1] and len(got[0]) == 120
+    assert segment.run_columns(df, blocks.limit(0), "ts").where("block IS NULL").count() == 120
+
+
+def test_recent_counts_against_pairs(spark):
+    from eventloom.operators import segment
+
+    df, rows = _times(spark, 3, 250)
+    e = df.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    span = 7200 * 1_000_000
+    us = {i: (k, (t - rows[0][2].replace(month=1, day=1, hour=0, minute=0, second=0, microsecond=0)).total_seconds()) for i, k, t in rows}
+    want = {i: sum(k2 == k and 0 < round((x - y) * 1e6) <= span for j, (k2, y) in us.items()) for i, (k, x) in us.items()}
+    for width in (600 * 1_000_000, span, 10 * span):
+        assert {r.id: r.n for r in segment.recent_counts(e, ["k"], "id", "us", span, width).collect()} == want
+
+
+def test_logistic_by_sums(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 + x[:, 0] - 2 * x[:, 1])))).astype(float)
+    g = ["p" if i % 3 else "q" for i in range(400)]
+    df = spark.createDataFrame([(g[i], float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(400)], "g string, a double, b double, y double")
+    got = fits.logistic_by(df, "g", ["a", "b"], "y")
+    for key in "pq":
+        at = np.array([v == key for v in g])
+        assert np.allclose(got[key], fits.logistic(x[at], y[at]), atol=1e-6)
+    assert fits.logistic_by(df.limit(0), "g", ["a", "b"], "y") == {}
