@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from eventloom.shared import materialize
+from eventloom.shared import discard, materialize
 
 
 def micros(c: Column | str) -> Column:
@@ -70,5 +70,7 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
         first = rest.groupBy("lid").agg(F.min(key).alias("k")).select("k.*").join(rest.groupBy("rid").agg(F.min(key).alias("k")).select("k.*"), ["cost", "lid", "rid"])
         got = materialize(first.select("lid", "rid", "cost"), "matched")
         taken = got if taken is None else taken.unionByName(got)
+        old = rest
         rest = materialize(rest.join(got.select("lid"), "lid", "left_anti").join(got.select("rid"), "rid", "left_anti"), "pairs")
+        discard(old)
     return taken if taken is not None else rest

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from eventloom.shared import materialize
+from eventloom.shared import discard, materialize
 
 
 def last_writer_edges(touches: DataFrame, key: str, who: str, t: str) -> DataFrame:
@@ -91,8 +91,11 @@ def ancestors(parents: DataFrame, node: str, parent: str, start: DataFrame) -> D
         more = materialize(marked.join(up, "node").select(F.col("up").alias("node")).distinct().join(marked, "node", "left_anti"), "marked")
         if not more.take(1):
             return marked
+        old = marked, more, up
         marked = materialize(marked.unionByName(more), "marked")
         up = materialize(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")), "up")
+        for table in old:
+            discard(table)
 
 
 def degrees(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -111,6 +114,7 @@ def forest(parents: DataFrame, node: str, parent: str) -> DataFrame:
         ahead = at.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
         nxt = materialize(at.join(ahead, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), "forest")
         moved = nxt.join(at.select("node", F.col("up").alias("was")), "node").where("up <> was").take(1)
+        discard(at)
         at = nxt
         if not moved:
             return at.select("node", F.col("up").alias("root"), F.col("d").alias("generation"))

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder, which outlives executors, and read it back.
 
-    The files go when the application ends.
+    The files go when the application ends, or with discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -34,7 +34,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._written_at = path
+    return got
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialize() gave, once nothing will read it again."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def signature(df: DataFrame) -> str:
