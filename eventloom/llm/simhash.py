@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.common import Texts, free_name, map_batches, release_shuffles, with_columns
-from eventloom.shared import materialize
+from eventloom.shared import discard, materialize
 
 SEED = 42
 
@@ -179,7 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = materialize(small.where("u > v").distinct(), "edges")
+        old, e = e, materialize(small.where("u > v").distinct(), "edges")
+        discard(old)
         # Done when no root hangs on another, and no node has two roots.
         state = e.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
         open_ = state.where("n > 1").select(F.lit(1).alias("x")).limit(1).unionAll(e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1).alias("x")).limit(1))
