@@ -164,18 +164,28 @@ def links(distinct: DataFrame, fp: str, budget: int) -> DataFrame:
     return map_batches(dealt, run, "u long, v long")
 
 
+#: Edges of a node beyond which it counts as a hub; more, where else there could be more than 2 * MOST_HUBS of them. Keys that a hub's edges are dealt to.
+MANY, MOST_HUBS, SALTS = 500, 10_000, 64
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node that can be reached.
 
     Large-star and small-star in turn, until every edge hangs on a root. Each round is written to the shared
-    folder; a node's edges are reduced to a minimum before they are joined back, so no node's edges meet in a task.
+    folder; a node's edges are reduced to a minimum before they are joined back, and those of a hub are dealt out
+    under many keys, so no node's edges meet in a task.
     """
     spark = edges.sparkSession
     e = materialize(edges.where("u > v").distinct(), "edges")
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("low", "u").alias("m"), "n")
+        # A node of very many edges is the hub of a star: its edges are dealt out under SALTS keys.
+        many = max(MANY, e.count() // MOST_HUBS)
+        salts = F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        hubs = F.broadcast(least.where(F.col("n") > many).select("u", F.lit(SALTS).alias("salts")))  # at most 2 * MOST_HUBS
+        ends = both.where("v > u").join(hubs, "u", "left").withColumn("salt", F.pmod(F.hash("v"), F.coalesce("salts", F.lit(1)))).drop("salts")
+        large = ends.join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")

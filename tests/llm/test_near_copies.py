@@ -80,3 +80,27 @@ def test_near_copies_go(spark):
     assert len(ids) == len(set(ids)) and clean <= set(ids) and {1000, 5000, 5003, 5004, None} <= set(ids)
     assert len(copies & set(ids)) <= 4 and len([i for i in ids if i and 1000 <= i < 5000]) == 1 and not {5001, 5002} & set(ids)
     assert simhash.keep_one_of_similar(df.limit(0)).count() == 0
+
+
+def test_components_of_hubs_chains_and_rings(spark):
+    """Stars with more edges than a hub may have, chains, and random graphs, against union and find."""
+    r = random.Random(1)
+    graphs = (
+        [(5000, i) for i in range(2000)] + [(9000 + i, 7 * i) for i in range(300)] + [(9000 + i, 9001 + i) for i in range(0, 300, 3)],
+        [(i, i + 1) for i in range(150)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(300)],
+    )
+    for edges in graphs:
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            root.setdefault(i, i)
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        df = spark.createDataFrame([(max(e), min(e)) for e in edges if e[0] != e[1]], "u long, v long")
+        got = {x.node: x.root for x in simhash.components(df).collect()}
+        assert {k: v for k, v in got.items() if k != v} == {i: find(i) for i in root if find(i) != i}
