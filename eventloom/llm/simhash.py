@@ -219,8 +219,8 @@ WIDE, WIDE_BUDGET = 256, 48
 SIMILARITY, RECALL = 0.8, 0.95
 #: Fingerprints that a bucket holds on average, beyond which its key takes one bit more.
 BUCKET = 256
-#: Rows of a bucket up to which pairs are walked; larger ones are explored from one member to the next. Of more rows than HELD, a component goes on with KEPT members.
-WALKED, HELD, KEPT = 512, 1 << 17, 64
+#: Rows of a bucket up to which pairs are walked; larger ones are explored from one member to the next. Buckets of more rows than HELD are crowded: see crowded_links.
+WALKED, HELD = 512, 1 << 17
 #: Rows that are joined at once.
 STEP = 1 << 15
 
@@ -303,36 +303,75 @@ def wide_trie_join(fp: np.ndarray, bucket: np.ndarray, budget: int) -> tuple[np.
 
 
 def explore(fp: np.ndarray, budget: int) -> np.ndarray:
-    """The first member of each row's component, by going from member to member; what has been reached is not looked at again."""
+    """The first member of each row's component, by going from member to member; what has been reached is not looked at again.
+
+    Rows within budget of a member are gone from at once: what is linked to one of them differs from the member in
+    at most twice the budget, so they are compared with such rows only.
+    """
     root = np.arange(len(fp))
-    left = np.arange(len(fp))
+    left, words = np.arange(len(fp)), np.ascontiguousarray(fp.T)
+
+    def apart(words: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(words ^ one[:, None]).sum(axis=0, dtype=np.uint16)
+
     while len(left):
-        start, left = left[0], left[1:]
+        start, left, words = left[0], left[1:], words[:, 1:]
         open_ = [start]
         while open_ and len(left):
-            near = np.bitwise_count(fp[left] ^ fp[open_.pop()]).sum(axis=1, dtype=np.int64) <= budget
-            if near.any():
-                root[left[near]] = start
-                open_ += left[near].tolist()
-                left = left[~near]
+            d = apart(words, fp[open_.pop()])
+            if d.min() > budget:
+                continue
+            reached = d <= budget
+            near, about = np.flatnonzero(reached), np.flatnonzero(~reached & (d <= 2 * budget))
+            if len(about) <= len(near):
+                inside = words[:, near]
+                hit = np.array([(apart(inside, fp[i]) <= budget).any() for i in left[about]], bool)
+                new = about[hit]
+            else:
+                found, rest, outside = [np.zeros(0, np.int64)], about, words[:, about]
+                for i in left[near]:
+                    hit = apart(outside, fp[i]) <= budget
+                    if hit.any():
+                        found.append(rest[hit])
+                        rest, outside = rest[~hit], outside[:, ~hit]
+                new = np.concatenate(found)
+            reached[new] = True
+            root[left[reached]] = start
+            open_ += left[new].tolist()
+            left, words = left[~reached], np.ascontiguousarray(words[:, ~reached])
     return root
 
 
+def as_nodes(fp: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes, the highest first."""
+    raw, size = fp.astype(">u8").tobytes(), WIDE // 8
+    return [raw[i : i + size] for i in range(0, len(raw), size)]
+
+
+def _pairs(x: list[bytes], y: list[bytes], *more: pa.Array) -> list[pa.Array]:
+    return [pa.array([max(p) for p in zip(x, y)], pa.binary()), pa.array([min(p) for p in zip(x, y)], pa.binary()), *more]
+
+
 def wide_links(distinct: DataFrame, names: list[str], budget: int = WIDE_BUDGET) -> DataFrame:
-    """Edges (u, v) of nodes (fingerprints as bytes), u > v, that connect what shares a bucket and is linked."""
+    """Edges (u, v) of nodes (fingerprints as bytes), u > v, that connect whatever shares a bucket and is linked.
+
+    Buckets of up to HELD rows are joined in a task. Of larger ones the task joins HELD rows after HELD rows, and
+    hands on all of them, with their key, to crowded_links.
+    """
     signed = lambda m: int(m) - (1 << 64) if int(m) >> 63 else int(m)
     masks = tables_of(distinct.count())
     keys = F.array(*[F.xxhash64(F.lit(i), *(F.col(c).bitwiseAND(F.lit(signed(m)).cast("long")) for c, m in zip(names, mask))) for i, mask in enumerate(masks)])
     dealt = distinct.select(F.explode(keys).alias("key"), *names).repartition("key").sortWithinPartitions("key")
+    held_at_once, step = HELD, STEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+        schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("key", pa.int64())])
 
         def edges(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            x, y = (v.astype(">u8").tobytes() for v in (x, y))
-            size = WIDE // 8
-            both = [(x[i : i + size], y[i : i + size]) for i in range(0, len(x), size)]
-            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in both], pa.binary()), pa.array([min(p) for p in both], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays(_pairs(as_nodes(x), as_nodes(y), pa.nulls(len(x), pa.int64())), schema=schema)
+
+        def handed_on(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(as_nodes(fp), pa.binary()), pa.nulls(len(fp), pa.binary()), pa.array(key)], schema=schema)
 
         def joined(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             bucket = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
@@ -354,35 +393,93 @@ def wide_links(distinct: DataFrame, names: list[str], budget: int = WIDE_BUDGET)
                 if len(at):
                     yield edges(f[at], f[root[at]])
 
-        def fewer(fp: np.ndarray) -> tuple[list[pa.RecordBatch], np.ndarray]:
-            """The edges of part of a bucket, and the rows that stand for it."""
-            root = explore(fp, budget)
-            at = np.flatnonzero(root != np.arange(len(fp)))
-            order = np.argsort(root, kind="stable")
-            first = np.searchsorted(root[order], root[order])
-            return [edges(fp[at], fp[root[at]])] if len(at) else [], fp[np.sort(order[np.arange(len(order)) - first < KEPT])]
-
         key, fp = np.zeros(0, np.int64), np.zeros((0, WIDE // 64), np.uint64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        crowded = None  # the key of a bucket whose first rows have been handed on
         for batch in batches:
             held.append((batch.column(0).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)))
-            if sum(len(k) for k, _ in held) < STEP:
+            if sum(len(k) for k, _ in held) < step:
                 continue
             key, fp = (np.concatenate(x) for x in zip((key, fp), *held))
             held = []
             cut = int(np.argmax(key == key[-1]))  # the last bucket may go on
             if cut:
+                if key[0] == crowded:
+                    yield handed_on(key[key == crowded], fp[key == crowded])
                 yield from joined(key[:cut], fp[:cut])
                 key, fp = key[cut:], fp[cut:]
-            if len(key) > HELD:
-                done, fp = fewer(fp)
-                yield from done
-                key = key[: len(fp)]
+            if len(key) > held_at_once:
+                crowded = key[0]
+                yield handed_on(key, fp)
+                yield from joined(key, fp)
+                key, fp = key[:0], fp[:0]
         key, fp = (np.concatenate(x) for x in zip((key, fp), *held))
         if len(key):
+            if key[0] == crowded:
+                yield handed_on(key[key == crowded], fp[key == crowded])
             yield from joined(key, fp)
 
-    return map_batches(dealt, run, "u binary, v binary")
+    found = materialize(map_batches(dealt, run, "u binary, v binary, key long"), "links")
+    known, crowd = found.where("key is null").select("u", "v"), found.where("key is not null").select("key", F.col("u").alias("node"))
+    return crowded_links(known, crowd, budget, held_at_once) if crowd.take(1) else known
+
+
+def crowded_links(known: DataFrame, crowd: DataFrame, budget: int, held: int) -> DataFrame:
+    """known, edges (u, v), and edges that connect whatever is linked in crowded buckets, rows (key, node) of one key each.
+
+    Every two rows of a bucket are compared, unless known connects them already. A component with more than held rows
+    in a bucket is dealt into parts of its own, and all other rows are dealt into mixed parts, of about held rows each.
+    Parts meet two by two, each meeting a task's work, but not two of one component. So a group of near copies, however
+    large, meets only what it is not connected with; work is quadratic in rows that nothing connects.
+    """
+    roots = components(known)
+    labelled = crowd.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    labelled = materialize(labelled, "crowd")
+    mixed = F.lit(b"")
+    sizes = labelled.groupBy("key", "root").count().select("key", F.when(F.col("count") > held, F.col("root")).otherwise(mixed).alias("of"), "count")
+    sizes = sizes.groupBy("key", "of").agg(F.ceil(F.sum("count") / held).cast("int").alias("parts"))
+    sizes = materialize(sizes, "sizes")
+    # At most two rows for held rows of the crowd: one for each large component, one for each key.
+    own = F.broadcast(sizes.where(F.col("of") != mixed).select("key", F.col("of").alias("root"), F.col("parts").alias("own")))
+    shared = F.broadcast(sizes.where(F.col("of") == mixed).select("key", F.col("parts").alias("shared")))
+    place = F.pmod(F.xxhash64("node"), F.coalesce("own", "shared").cast("long")).cast("int")
+    rows = labelled.join(own, ["key", "root"], "left").join(shared, "key", "left").select("key", F.when(F.col("own").isNotNull(), F.col("root")).otherwise(mixed).alias("of"), place.alias("part"), "node", "root")
+    parts = sizes.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "of")
+    a, b = (parts.select("key", F.col("of").alias(f"of_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    meet = (F.col("of_a") < F.col("of_b")) | ((F.col("of_a") == mixed) & (F.col("of_b") == mixed) & (F.col("part_a") < F.col("part_b")))
+    meetings = materialize(a.join(b, "key").where(meet).withColumn("meeting", F.monotonically_increasing_id()), "meetings")
+    sides = [meetings.select("key", F.col(f"of_{x}").alias("of"), F.col(f"part_{x}").alias("part"), "meeting") for x in "ab"]
+    n = meetings.count()
+    dealt = rows.join(sides[0].unionAll(sides[1]), ["key", "of", "part"]).select("meeting", "node", "root").repartition(min(max(n, 1), 10_000), "meeting").sortWithinPartitions("meeting")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+        def joined(nodes: list[bytes], roots: list[bytes]) -> Iterator[pa.RecordBatch]:
+            fp = np.frombuffer(b"".join(nodes), ">u8").astype(np.uint64).reshape(len(nodes), WIDE // 64)
+            first = explore(fp, budget).tolist()
+            new = sorted({(r, roots[i]) for r, i in zip(roots, first) if r != roots[i]})
+            if new:
+                yield pa.RecordBatch.from_arrays(_pairs(*map(list, zip(*new))), schema=schema)
+
+        now, nodes, roots = None, [], []
+        for batch in batches:
+            meeting = batch.column(0).to_numpy()
+            heads = [0, *(np.flatnonzero(meeting[1:] != meeting[:-1]) + 1).tolist(), len(meeting)]
+            for i, j in zip(heads, heads[1:]):
+                if i == j:
+                    continue
+                if meeting[i] != now:
+                    if nodes:
+                        yield from joined(nodes, roots)
+                    now, nodes, roots = meeting[i], [], []
+                part = batch.slice(i, j - i)
+                nodes += part.column(1).to_pylist()
+                roots += part.column(2).to_pylist()
+        if nodes:
+            yield from joined(nodes, roots)
+
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(map_batches(dealt, run, "u binary, v binary"))
 
 
 def keep_one_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, budget: int = WIDE_BUDGET) -> DataFrame:

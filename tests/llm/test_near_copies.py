@@ -104,3 +104,45 @@ def test_components_of_hubs_chains_and_rings(spark):
         df = spark.createDataFrame([(max(e), min(e)) for e in edges if e[0] != e[1]], "u long, v long")
         got = {x.node: x.root for x in simhash.components(df).collect()}
         assert {k: v for k, v in got.items() if k != v} == {i: find(i) for i in root if find(i) != i}
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """One bucket of many more rows than a task holds, against all pairs: a large group with rows that hang on single members of it, two more groups, chains, and rows that hang on nothing."""
+    monkeypatch.setattr(simhash, "HELD", 300)
+    monkeypatch.setattr(simhash, "STEP", 100)
+    monkeypatch.setattr(simhash, "tables_of", lambda n: [np.array([0xFFFF, 0, 0, 0], np.uint64)])
+    rng = np.random.default_rng(7)
+
+    def flipped(fp: np.ndarray, n: int) -> np.ndarray:
+        out = fp.copy()
+        for k in rng.permutation(240)[:n] + 16:  # none of the bucket's bits
+            out[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+        return out
+
+    def base() -> np.ndarray:
+        out = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        out[0] &= np.uint64(0xFFFFFFFFFFFF0000)
+        return out
+
+    rows = []
+    for members, hanging in ((900, 250), (350, 40), (200, 40)):
+        centre = base()
+        group = [flipped(centre, 20) for _ in range(members)]
+        rows += group + [flipped(m, 44) for m in group[:: members // hanging]]
+    for _ in range(30):  # each link of a chain is one in all
+        row = base()
+        for _ in range(6):
+            rows.append(row)
+            row = flipped(row, 45)
+    rows += [base() for _ in range(300)]
+    fp = np.unique(np.array(rows), axis=0)
+    x, y = (np.concatenate(v) for v in zip(*[(np.full(len(j), i), j) for i in range(len(fp)) for j in [i + 1 + np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1) <= 48)]]))
+    root = simhash.forest(len(fp), x, y)
+    node = [b.astype(">u8").tobytes() for b in fp]
+    want = {node[i]: node[r] for i, r in enumerate(root.tolist()) if i != r}
+
+    shuffled = fp[rng.permutation(len(fp))].view(np.int64).tolist()
+    df = spark.createDataFrame(shuffled, "a long, b long, c long, d long").repartition(5)
+    edges = simhash.wide_links(df, df.columns)
+    got = {bytes(r.node): bytes(r.root) for r in simhash.components(edges).collect()}
+    assert len(set(root.tolist())) > 300 and {k: v for k, v in got.items() if k != v} == want
