@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 
+from eventloom.operators import transmit
 from eventloom.plans import relational
 
 
@@ -15,3 +17,14 @@ def test_words_end_where_sql_says(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(map(tuple, f(spark, str(tmp_path)).collect())) == sorted(con.sql(sql).fetchall())
+
+
+def test_candidates_are_offered_to_two_slots_not_to_each_day(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(u), i, int(d), int(a)) for i, (u, d, a) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(-60, 60, 300), rng.integers(0, 3, 300)))] + [(0, 999, None, 1)]
+    occ = spark.createDataFrame(rows, "unit long, occ long, day int, actor int")
+    for reach in (1, 7, 20):
+        df = transmit.candidates(occ, "unit", "occ", "day", "actor", reach)
+        want = sorted((a[0], a[1], b[1], a[2] - b[2]) for a in rows[:-1] for b in rows[:-1] if a[0] == b[0] and a[3] != b[3] and 1 <= a[2] - b[2] <= reach)
+        assert sorted(map(tuple, df.collect())) == want
+    assert "sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
