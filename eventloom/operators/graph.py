@@ -107,14 +107,19 @@ def degrees(edges: DataFrame, child: str, parent: str) -> DataFrame:
 def forest(parents: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, generation) of a forest given by parents; roots have a null parent.
 
-    Pointer jumping: each round doubles how far a node sees, so rounds are the logarithm of the depth.
+    Pointer jumping: each round doubles how far a node sees, so rounds are the logarithm of the depth. Only nodes with
+    a parent take part; those that see a root are not joined again. Joins are by exchange, whatever the files' size,
+    for rounds would send a table to the driver each.
     """
-    at = materialize(parents.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("d")), "forest")
-    while True:
-        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        nxt = materialize(at.join(ahead, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), "forest")
-        moved = nxt.join(at.select("node", F.col("up").alias("was")), "node").where("up <> was").take(1)
+    rows = parents.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    roots = rows.where("up IS NULL").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("generation"))
+    at = materialize(rows.where("up IS NOT NULL").select("node", "up", F.lit(1).cast("long").alias("d"), F.lit(False).alias("done")), "forest")
+    while at.where("NOT done").take(1):
+        # What has no row here is a root.
+        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
+        seen = at.where("NOT done").join(ahead.hint("merge"), "up", "left")
+        seen = seen.select("node", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.coalesce("done2", F.lit(True)).alias("done"))
+        nxt = materialize(at.where("done").unionByName(seen), "forest")
         discard(at)
         at = nxt
-        if not moved:
-            return at.select("node", F.col("up").alias("root"), F.col("d").alias("generation"))
+    return roots.unionByName(at.select("node", F.col("up").alias("root"), F.col("d").alias("generation")))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.operators import excite, fits, resample, shift, swarm, transmit
+from eventloom.operators import excite, fits, graph, resample, shift, swarm, transmit
 from eventloom.plans import analysis as an
 from eventloom.plans import studies as st
 from eventloom.session import table
@@ -76,16 +76,11 @@ SELECT p_brand, dt, CAST(CASE WHEN n >= 30 THEN n WHEN sum(n) OVER (PARTITION BY
 
 def tr16(s, d):
     """Nodes whose every step from the root had one candidate only."""
-    c = an._cand(s, d).groupBy("child").agg(F.count("*").alias("n"))
-    best = transmit.likeliest(an._post(s, d)).join(c, "child").select(F.col("child").alias("node"), "parent", (F.col("n") == 1).cast("int").alias("one"))
-    # Pointer jumping: each round doubles the part of the path that is known.
-    at = materialize(best, "paths")
-    while True:
-        up = at.select(F.col("node").alias("parent"), F.col("parent").alias("p2"), F.col("one").alias("o2"))
-        nxt = materialize(at.join(up, "parent", "left").select("node", F.col("p2").alias("parent"), F.least("one", F.coalesce("o2", F.lit(1))).alias("one")), "paths")
-        at = nxt
-        if not at.where("parent IS NOT NULL").take(1):
-            return at.where("one = 1").select("node")
+    b = an._best(s, d).select("child", "parent", "n").distinct()
+    # Paths are cut at nodes with several candidates; a node is determined if its path ends elsewhere.
+    top = graph.forest(b.select("child", F.when(F.col("n") == 1, F.col("parent")).alias("parent")), "child", "parent")
+    cut = b.where("n > 1").select(F.col("child").alias("root"))
+    return top.join(cut, "root", "left_anti").select("node")
 
 
 TR16 = an.MAP.replace("WITH o AS", "WITH RECURSIVE o AS") + """,

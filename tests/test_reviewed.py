@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 
-from eventloom.operators import transmit
+from eventloom.operators import graph, transmit
 from eventloom.plans import relational
 
 
@@ -28,3 +28,13 @@ def test_candidates_are_offered_to_two_slots_not_to_each_day(spark):
         want = sorted((a[0], a[1], b[1], a[2] - b[2]) for a in rows[:-1] for b in rows[:-1] if a[0] == b[0] and a[3] != b[3] and 1 <= a[2] - b[2] <= reach)
         assert sorted(map(tuple, df.collect())) == want
     assert "sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forest_joins_no_finished_rows_and_sends_no_table_to_the_driver(spark, monkeypatch):
+    rows = [(i, i - 1) for i in range(1, 20)] + [(0, None), (50, None), (60, 7), (61, 99)]
+    sizes = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, tag: sizes.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, tag))
+    got = {r.node: (r.root, r.generation) for r in graph.forest(spark.createDataFrame(rows, "n long, p long"), "n", "p").collect()}
+    assert got == {i: (0, i) for i in range(20)} | {50: (50, 0), 60: (0, 8), 61: (99, 1)}
+    assert len(sizes) > 2 and not any("Broadcast" in x for x in sizes)
