@@ -91,8 +91,7 @@ SELECT child AS node FROM f"""
 
 def tr25(s, d):
     """The mean interval of drawn forests."""
-    draws = st.tr13(s, d).join(an._cand(s, d).select("child", "parent", "dt"), ["child", "parent"])
-    return draws.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.avg("dt"), R).alias("mean"))
+    return st.drawn(s, d).groupBy("draw").agg(F.count("*").alias("n"), F.round(F.avg("dt"), R).alias("mean"))
 
 
 def tr28(s, d):
