@@ -61,7 +61,7 @@ def tr09(s, d):
 def tr10(s, d):
     """A weight for each candidate: of its unit's brand and distance, else of the distance, else of all."""
     c = an._cand(s, d).join(table(s, d, "part").select(F.col("p_partkey").alias("unit"), "p_brand"), "unit")
-    n = c.groupBy("p_brand", "dt").agg(F.count("*").alias("n"))
+    n = materialize(c.groupBy("p_brand", "dt").agg(F.count("*").alias("n")), "counts")  # read four times
     fine = n.where("n >= 30").select("p_brand", "dt", F.col("n").alias("a"))
     mid = n.groupBy("dt").agg(F.sum("n").alias("b")).where("b >= 650")
     top = n.agg(F.sum("n").alias("c"))
