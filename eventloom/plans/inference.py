@@ -51,8 +51,7 @@ def tr09(s, d):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.linspace(0, 1.5, 31)
-        x = np.repeat(np.log10(pdf["dt"].to_numpy(float)), pdf["n"].to_numpy(int))
-        return pd.DataFrame({"at": grid, "density": fits.kde(x, grid)})
+        return pd.DataFrame({"at": grid, "density": fits.kde(np.log10(pdf["dt"].to_numpy(float)), grid, pdf["n"].to_numpy(float))})
 
     # A row for each day in reach, in one group.
     return c.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(run, "at double, density double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 
-from eventloom.operators import graph, transmit
+from eventloom.operators import fits, graph, transmit
 from eventloom.plans import relational
 
 
@@ -38,3 +38,8 @@ def test_forest_joins_no_finished_rows_and_sends_no_table_to_the_driver(spark, m
     got = {r.node: (r.root, r.generation) for r in graph.forest(spark.createDataFrame(rows, "n long, p long"), "n", "p").collect()}
     assert got == {i: (0, i) for i in range(20)} | {50: (50, 0), 60: (0, 8), 61: (99, 1)}
     assert len(sizes) > 2 and not any("Broadcast" in x for x in sizes)
+
+
+def test_density_of_counts_is_that_of_rows():
+    x, n, grid = np.array([0.1, 0.4, 0.9]), np.array([5, 1, 3]), np.linspace(0, 1, 5)
+    assert np.allclose(fits.kde(x, grid, n), fits.kde(np.repeat(x, n), grid))
