@@ -12,60 +12,140 @@ from pyspark.sql import functions as F
 from eventloom.shared import discard, materialize
 
 
-def last_writer_edges(touches: DataFrame, key: str, who: str, t: str) -> DataFrame:
+def last_writer_edges(touches: DataFrame, key: str, who: str, t: str, first: bool = False, parts: int | None = None, times: bool = False) -> DataFrame:
     """(who, parent, key): for each first touch of a key, the latest other toucher that came strictly earlier.
 
-    touches: a row for each (key, who), with the time of the first touch.
+    touches: a row for each (key, who), with the time of the first touch; first says that there is one already, else
+    the earliest counts. parts: into how many the rows are dealt, where what an exchange weighs would make tasks too
+    large. times: with t and before, when the two touched.
     """
-    first = touches.groupBy(F.col(key).alias("key"), F.col(who).alias("who")).agg(F.min(t).alias("t"))
-    # All with one time meet the same past: the latest of the time before, of several the greatest.
-    at = first.groupBy("key", "t").agg(F.max("who").alias("last"))
-    past = at.select("key", "t", F.lag("last").over(W.partitionBy("key").orderBy("t")).alias("parent"))
-    return first.join(past, ["key", "t"]).where(F.col("parent").isNotNull()).select("who", "parent", "key")
-
-
-#: Edges that one task may hold, 16 bytes each and as much again for its work; beyond, layers() goes by rounds.
+    f = touches.select(F.col(key).alias("key"), F.col(who).alias("who"), F.col(t).alias("t")).where("t IS NOT NULL")
+    f = f if first else f.groupBy("key", "who").agg(F.min("t").alias("t"))
+    deal = lambda df, *by: df.repartition(parts, *by) if parts else df
+    # One exchange by key and time serves both sides. All with one time meet the same past: the latest of the time before, of several the greatest.
+    f = deal(f, "key", "t")
+    at = f.groupBy("key", "t").agg(F.max("who").alias("last"))
+    w = W.partitionBy("key").orderBy("t")
+    past = deal(at, "key").select("key", "t", F.lag("last").over(w).alias("parent"), *([F.lag("t").over(w).alias("before")] if times else []))
+    got = f.join(deal(past, "key", "t"), ["key", "t"]).where(F.col("parent").isNotNull())
+    return got.select("who", "parent", "key", *(["t", "before"] if times else []))
+
+
+#: Edges that one task may hold, 16 bytes each and as much again for its work; beyond, layers() goes by blocks of time, or rounds.
 SMALL = 1 << 21
 
 
-def longest_paths(child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, layer): nodes leave once all their parents have left; a node's layer is the round in which it does."""
-    nodes, ends = np.unique(np.concatenate([child, parent]), return_inverse=True)
-    c, p = ends[: len(child)], ends[len(child) :]
+def longest_paths(child: np.ndarray, parent: np.ndarray, begun: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, layer): nodes leave once all their parents have left; a node's layer is one more than the last of theirs.
+
+    begun: nodes, and layers that they have at least by edges which are not here; a node may come several times.
+    """
+    more, least = begun or (np.empty(0, np.int64), np.empty(0, np.int64))
+    nodes, ends = np.unique(np.concatenate([child, parent, more]), return_inverse=True)
+    c, p, m = np.split(ends, [len(child), 2 * len(child)])
     order = np.argsort(p, kind="stable")
     c, p = c[order], p[order]
     first = np.searchsorted(p, np.arange(len(nodes) + 1))
     waits = np.bincount(c, minlength=len(nodes))
-    layer = np.full(len(nodes), -1, np.int64)
-    now, k = np.flatnonzero(waits == 0), 0
+    layer = np.zeros(len(nodes), np.int64)
+    np.maximum.at(layer, m, least)
+    now, left = np.flatnonzero(waits == 0), len(nodes)
     while len(now):
-        layer[now] = k
+        left -= len(now)
         size = first[now + 1] - first[now]
         ends_ = np.cumsum(size)
         to = c[np.arange(ends_[-1]) + np.repeat(first[now] - (ends_ - size), size)]
+        np.maximum.at(layer, to, np.repeat(layer[now] + 1, size))
         np.subtract.at(waits, to, 1)
-        now, k = np.unique(to[waits[to] == 0]), k + 1
-    if (layer < 0).any():
+        now = np.unique(to[waits[to] == 0])
+    if left:
         raise ValueError("the edges have a cycle")
     return nodes, layer
 
 
-def layers(edges: DataFrame, child: str, parent: str, small: int = SMALL) -> DataFrame:
-    """(node, layer): the longest path from a node without parents. Edges (of whole numbers) must have no cycles, else it raises.
+def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, layer) of rows (c, p, least): an edge, or, where least is not 0, what c has at least; p is then c itself."""
+    c, p, n, m = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for pdf in batches:
+        x, y, least = (pdf[k].to_numpy(np.int64) for k in ("c", "p", "least"))
+        edge = least == 0
+        c.append(x[edge])
+        p.append(y[edge])
+        n.append(x[~edge])
+        m.append(least[~edge])
+    nodes, layer = longest_paths(np.concatenate(c), np.concatenate(p), (np.concatenate(n), np.concatenate(m)))
+    yield pd.DataFrame({"node": nodes, "layer": layer})
 
-    Up to `small` edges are one task's work. More go by rounds: the nodes that a walk of k edges from a root can end
-    at; a node's layer is the last round that has it. Each round is written to the shared folder, so the plan does
-    not grow with the depth.
-    """
-    e = materialize(edges.select(F.col(child).cast("long").alias("c"), F.col(parent).cast("long").alias("p")).distinct(), "edges")
-    if e.count() <= small:
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = pd.concat([pd.DataFrame({"c": [], "p": []}, dtype=np.int64), *batches])
-            nodes, layer = longest_paths(held["c"].to_numpy(), held["p"].to_numpy())
-            yield pd.DataFrame({"node": nodes, "layer": layer})
+def _layers_in_time(e: DataFrame, n: int, small: int) -> DataFrame:
+    """layers() of n edges (c, p, tc, tp) where each parent is earlier than its child.
 
-        return e.coalesce(1).mapInPandas(run, "node long, layer long")
+    Time is cut into blocks, which go one after the other. A task has the edges inside a block, at most `small` of
+    them, and what nodes have by edges from before, at most four times as many. What a block adds to later ones is
+    joined and combined by all. As edges inside a block are fewer the shorter it is, blocks are about as many as the
+    root of the edges. A single time has no edges inside, so it always is a block's work.
+    """
+    slots = max(64, min(1 << 12, 16 * n // max(1, small)))
+    share = [k / slots for k in range(1, slots)]
+    cuts = np.unique(np.array(e.approxQuantile("tc", share, 1 / (4 * slots)), float))
+    two = "c long, p long, sc int, sp int"
+
+    def slot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            at = {s: np.searchsorted(cuts, x[t].to_numpy(float), side="right").astype(np.int32) for s, t in (("sc", "tc"), ("sp", "tp"))}
+            yield pd.DataFrame({"c": x["c"], "p": x["p"], **at})
+
+    cut = materialize(e.mapInPandas(slot, two), "slots")
+    held = np.zeros((len(cuts) + 1, len(cuts) + 1), np.int64)
+    for r in cut.groupBy("sc", "sp").count().collect():  # slots squared, at most
+        held[r[0], r[1]] = r[2]
+    block, begin, inside, into = np.zeros(len(cuts) + 1, int), 0, 0, 0
+    for k in range(len(cuts) + 1):
+        inside, into = inside + held[k, begin : k + 1].sum(), into + held[k].sum()
+        if k > begin and (inside > small or into > 4 * small):
+            begin, inside, into = k, held[k, k], held[k].sum()
+        block[k] = begin
+    blocks = sorted(set(block.tolist()))
+    name = F.lit(block.tolist()).cast("array<int>")
+    cut = cut.select("c", "p", F.element_at(name, F.col("sc") + 1).alias("bc"), F.element_at(name, F.col("sp") + 1).alias("bp"))
+    parts = max(1, n // (1 << 20))
+    rows = materialize(cut.repartitionByRange(parts, "bp", "bc"), "blocks", by=["bp"])
+    done, pushed = [], []
+    for b in blocks:
+        here = rows.where(F.col("bp") == b)
+        work = here.where(F.col("bc") == b).select("c", "p", F.lit(0).cast("long").alias("least"))
+        for m in pushed:
+            work = work.unionByName(m.where(F.col("bc") == b).select("c", F.col("c").alias("p"), "least"))
+        # Of a root, which has layer 0, no row is kept.
+        got = materialize(work.coalesce(1).mapInPandas(_paths, "node long, layer long").where("layer > 0"), "layers")
+        done.append(got)
+        if b != blocks[-1]:
+            on = here.where(F.col("bc") > b).join(got.select(F.col("node").alias("p"), "layer"), "p", "left")
+            pushed.append(materialize(on.groupBy("bc", "c").agg((F.coalesce(F.max("layer"), F.lit(0)) + 1).alias("least")), "pushed", by=["bc"]))
+    roots = cut.select(F.col("p").alias("node")).distinct().join(cut.select(F.col("c").alias("node")), "node", "left_anti").withColumn("layer", F.lit(0).cast("long"))
+    for got in done:
+        roots = roots.unionByName(got)
+    return roots
+
+
+def layers(edges: DataFrame, child: str, parent: str, small: int = SMALL, times: tuple[str, str] | None = None) -> DataFrame:
+    """(node, layer): the longest path from a node without parents. Edges (of whole numbers) must have no cycles, else it raises.
+
+    Up to `small` edges are one task's work. More go by blocks of time, where times names the columns with a child's
+    and its parent's time (numbers; a node has one time, and a parent's that is not less than its child's raises).
+    Without times they go by rounds, as many as the longest path: the nodes that a walk of k edges from a root can end
+    at; a node's layer is the last round that has it. Blocks and rounds are written to the shared folder, so the plan
+    does not grow with the depth.
+    """
+    at = [F.col(t).cast("long").alias(n) for t, n in zip(times or (), ("tc", "tp"))]
+    e = materialize(edges.select(F.col(child).cast("long").alias("c"), F.col(parent).cast("long").alias("p"), *at).distinct(), "edges")
+    n = e.count()
+    if n <= small:
+        return e.select("c", "p", F.lit(0).cast("long").alias("least")).coalesce(1).mapInPandas(_paths, "node long, layer long")
+    if times:
+        if e.where("tp >= tc OR tp IS NULL OR tc IS NULL").take(1):
+            raise ValueError("a parent is not earlier than its child")
+        return _layers_in_time(e, n, small)
     at = e.select(F.col("p").alias("node")).distinct().join(e.select(F.col("c").alias("node")), "node", "left_anti")
     rounds = [materialize(at.withColumn("layer", F.lit(0).cast("long")), "layer")]
     n = e.select("c").distinct().count()

@@ -14,7 +14,7 @@ from eventloom.functions import text as ft
 from eventloom.operators import excite, fits, pointfit, resample, shift, stats, swarm
 from eventloom.plans import analysis as an
 from eventloom.session import table
-from eventloom.shared import shared_dir
+from eventloom.shared import materialize, shared_dir
 from eventloom.streaming import live
 
 R = 6
@@ -229,7 +229,7 @@ SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS tokens, quantities, coalesce(rar
 
 def tr21(s, d):
     """Between an order and the one that had its part before: values (quantities by line status) inherited, changed, new and lost."""
-    e = an._edges(s, d)
+    e = materialize(an._edges(s, d), "edges")  # read twice
     v = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("who"), F.col("l_linestatus").alias("name")).agg(F.sum("l_quantity").alias("value"))
     child = e.join(v, "who").select("who", "parent", "key", "name", "value")
     parent = e.join(v.select(F.col("who").alias("parent"), "name", F.col("value").alias("was")), "parent").select("who", "parent", "key", "name", "was")
@@ -431,8 +431,8 @@ SELECT lang, count(*) AS drawn, round(sum(1 / p), 6) AS stands_for, round(sum(CA
 def st03(s, d):
     """Last writers over a stream of first touches, which come as files."""
     path = f"{shared_dir(s)}/touches-{uuid.uuid4().hex}"
-    first = an._touches(s, d).groupBy("key", "who").agg(F.min(F.unix_micros(F.col("t").cast("timestamp"))).alias("t"))
-    first.write.parquet(path)
+    touches, _ = an._touches(s, d)
+    touches.select("key", "who", F.unix_micros(F.col("t").cast("timestamp")).alias("t")).write.parquet(path)
     stream = s.readStream.schema("key long, who long, t long").parquet(path)
     return live.run_to_files(live.stream_last_writers(stream, "key", "who", "t"), f"writers_{uuid.uuid4().hex}")
 

@@ -23,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder, which outlives executors, and read it back.
+def materialize(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder, which outlives executors, and read it back; by: a folder for each value of these columns.
 
     The files go when the application ends, or with discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -67,3 +67,8 @@ def cached(tag: str, version: str, inputs: list[DataFrame], make: Callable[[], D
     if not there:
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), there
+
+
+def parts_for(rows: int, each: int = 1 << 18) -> int:
+    """Into how many parts so many rows are dealt for a task to hold `each`, whatever they weigh when compressed."""
+    return max(1, -(-rows // each))
