@@ -82,26 +82,46 @@ def stream_runs(points: DataFrame, by: str, order: str, x: str, hazard: float) -
     return rows.groupBy("by").applyInPandasWithState(run, "by string, o long, run int", state, "append", "NoTimeout")
 
 
-def stream_last_writers(touches: DataFrame, key: str, who: str, t: str) -> DataFrame:
+#: Keys are dealt into so many groups, each with one state: a key costs a few numbers, not a call of Python.
+GROUPS = 1 << 12
+
+
+def stream_last_writers(touches: DataFrame, key: str, who: str, t: str, groups: int = GROUPS) -> DataFrame:
     """(who, parent, key) of a stream of first touches (a row for each key and toucher): the latest other one that came strictly earlier.
 
-    The state of a key is its latest time, the greatest toucher of that time, and that of the time before. Rows of a
-    key come in order of batches, and are sorted within one; times are numbers.
+    The state of a key is its latest time, the greatest toucher of that time, and that of the time before, if any.
+    Rows of a key come in order of batches, and are sorted within one; times are numbers. Keys are handled a group at
+    once, by arrays.
     """
-
-    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, last, before = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["t", "who"])
-        out = []
-        for w, now in zip(rows["who"].tolist(), rows["t"].tolist()):
-            if at is None or now > at:
-                at, last, before = now, w, last
-            else:
-                last = max(last, w)
-            if before is not None:
-                out.append((w, before, k[0]))
-        state.update((at, last, before))
-        yield pd.DataFrame(out, columns=["who", "parent", "key"])
+    names = ("key", "t", "who", "before", "has")
+
+    def run(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        new = [rows[c].to_numpy(np.int64) for c in names[:3]]
+        held = [np.array(v, np.int64) for v in state.get] if state.exists else [np.empty(0, np.int64)] * 5
+        # What is held stands as one row for its key, before those of this batch.
+        k, at, w = (np.concatenate([a, b]) for a, b in zip(held, new))
+        old = np.arange(len(k)) < len(held[0])
+        past, has = np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+        past[old], has[old] = held[3], held[4] == 1
+        o = np.lexsort((w, at, k))
+        k, at, w, old, past, has = (x[o] for x in (k, at, w, old, past, has))
+        # Runs of one key and time: the last of a run is its greatest toucher, and all of a run have one past.
+        starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (at[1:] != at[:-1])])
+        ends = np.r_[starts[1:], len(k)] - 1
+        same = np.r_[False, k[starts[1:]] == k[starts[:-1]]]
+        prior = np.where(same, w[np.r_[0, ends[:-1]]], 0)
+        known = same.copy()
+        # The run that what is held belongs to, the first of its key, has the past that is held.
+        run_of = np.repeat(np.arange(len(starts)), ends - starts + 1)
+        mine = run_of[old]
+        prior[mine], known[mine] = np.where(has[old], past[old], prior[mine]), has[old] | known[mine]
+        got = ~old & known[run_of]
+        last = np.flatnonzero(np.r_[k[starts[1:]] != k[starts[:-1]], True])
+        state.update(tuple(x.tolist() for x in (k[starts[last]], at[starts[last]], w[ends[last]], prior[last], known[last].astype(np.int64))))
+        yield pd.DataFrame({"who": w[got], "parent": prior[run_of][got], "key": k[got]})
 
     rows = touches.select(F.col(key).cast("long").alias("key"), F.col(who).cast("long").alias("who"), F.col(t).cast("long").alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(run, "who long, parent long, key long", "at long, last long, before long", "append", "NoTimeout")
+    rows = rows.where("key IS NOT NULL AND who IS NOT NULL AND t IS NOT NULL")
+    state = ", ".join(f"{n} array<long>" for n in names)
+    return rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInPandasWithState(run, "who long, parent long, key long", state, "append", "NoTimeout")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from eventloom.operators import fits, graph, transmit
 from eventloom.plans import analysis, relational
 from eventloom.shared import parts_for
+from eventloom.streaming import live
 
 
 def test_words_end_where_sql_says(spark, tmp_path):
@@ -88,3 +90,15 @@ def test_an_order_touches_a_part_once_in_a_task_of_few_rows(spark, tmp_path):
     df, _ = analysis._touches(spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == [(7, 1, t[0]), (7, 2, t[1]), (7, 3, t[3])]
     assert [parts_for(n) for n in (0, 1, 1 << 18, 36_000_000)] == [1, 1, 1, 138]
+
+
+def test_streamed_last_writers_hold_groups_of_keys(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(k), int(w)): (int(k), int(w), int(t)) for k, w, t in zip(rng.integers(0, 30, 400), rng.integers(-9, 99, 400), rng.integers(-5, 12, 400))}.values(), key=lambda r: r[2])
+    for part in (rows[:100], rows[100:130], rows[130:]):
+        spark.createDataFrame(part, "key long, who long, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, who long, t long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    df = live.stream_last_writers(stream, "key", "who", "t", groups=3)
+    got = live.run_to_files(df, f"writers-{uuid.uuid4().hex}")
+    batch = graph.last_writer_edges(spark.createDataFrame(rows, "key long, who long, t long"), "key", "who", "t")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
