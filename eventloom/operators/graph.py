@@ -163,17 +163,18 @@ def layers(edges: DataFrame, child: str, parent: str, small: int = SMALL, times:
 def ancestors(parents: DataFrame, node: str, parent: str, start: DataFrame) -> DataFrame:
     """(node): those of start (node) and all above them in a forest given by parents.
 
-    Each round doubles how far up the marked nodes see, so rounds are the logarithm of the depth.
+    Each round doubles how far up the marked nodes see, so rounds are the logarithm of the depth. Joins
+    are by exchange, so no round sends a table to the driver.
     """
     up = materialize(parents.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up")), "up")
     marked = materialize(start.select("node").distinct(), "marked")
     while True:
-        more = materialize(marked.join(up, "node").select(F.col("up").alias("node")).distinct().join(marked, "node", "left_anti"), "marked")
+        more = materialize(marked.hint("merge").join(up.hint("merge"), "node").select(F.col("up").alias("node")).distinct().join(marked.hint("merge"), "node", "left_anti"), "marked")
         if not more.take(1):
             return marked
         old = marked, more, up
         marked = materialize(marked.unionByName(more), "marked")
-        up = materialize(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")), "up")
+        up = materialize(up.hint("merge").join(up.select(F.col("node").alias("up"), F.col("up").alias("far")).hint("merge"), "up").select("node", F.col("far").alias("up")), "up")
         for table in old:
             discard(table)
 

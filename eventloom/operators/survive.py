@@ -57,16 +57,17 @@ GENERATIONS = ("first", "rewrite")
 def lineage(rel: DataFrame) -> DataFrame:
     """rel with gen (the row that began its generation), depth, and of rows that begin one parent (generation) and input (row).
 
-    rel is relations' table, already written: it is read several times. Chains are followed by pointer jumping.
+    rel is relations' table, already written: it is read several times. Chains are followed by pointer jumping. Joins
+    are by exchange: a row for each version would be too much to send to the driver, however small its file.
     """
     begins = F.col("rel").isin(*GENERATIONS)
     gens = graph.forest(rel.select("id", F.when(~begins, F.col("base")).alias("up")), "id", "up").select(F.col("node").alias("id"), F.col("root").alias("gen"))
     # Of rows equal to the one before, the first of the run.
     same = graph.forest(rel.select("id", F.when(F.col("rel") == "ident", F.col("base")).alias("up")), "id", "up").select(F.col("node").alias("prev"), F.col("root").alias("input"))
-    tops = rel.where(begins).select("id", F.when(F.col("rel") == "rewrite", F.col("prev")).alias("prev")).join(same, "prev", "left").select("id", "input")
-    tops = materialize(tops.join(gens.select(F.col("id").alias("input"), F.col("gen").alias("parent")), "input", "left").select("id", "input", "parent"), "generations")
+    tops = rel.where(begins).select("id", F.when(F.col("rel") == "rewrite", F.col("prev")).alias("prev")).join(same.hint("merge"), "prev", "left").select("id", "input")
+    tops = materialize(tops.join(gens.select(F.col("id").alias("input"), F.col("gen").alias("parent")).hint("merge"), "input", "left").select("id", "input", "parent"), "generations")
     depth = graph.forest(tops, "id", "parent").select(F.col("node").alias("gen"), F.col("generation").alias("depth"))
-    return rel.join(gens, "id").join(depth, "gen").join(tops, "id", "left")
+    return rel.join(gens.hint("merge"), "id").join(depth.hint("merge"), "gen").join(tops.hint("merge"), "id", "left")
 
 
 def live_rows(rows: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def live_rows(rows: DataFrame) -> DataFrame:
     last = rows.groupBy("by").agg(F.max(F.struct("idx", "gen")).alias("m")).select(F.col("m.gen").alias("node"))
     tops = rows.where(F.col("rel").isin(*GENERATIONS)).select("id", "parent")
     live = graph.ancestors(tops, "id", "parent", last)
-    return rows.where("rel <> 'ident'").join(live.withColumnRenamed("node", "gen"), "gen", "left_semi")
+    return rows.where("rel <> 'ident'").join(live.withColumnRenamed("node", "gen").hint("merge"), "gen", "left_semi")
 
 
 def presence_spells(df: DataFrame, by: list[str], index: str) -> DataFrame:

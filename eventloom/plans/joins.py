@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.operators.asof import asof, greedy_match, micros, window_candidates
 from eventloom.operators.segment import run_blocks
 from eventloom.session import table
+from eventloom.shared import parts_for
 
 
 def _events(s, d, kind=None):
@@ -207,11 +213,78 @@ SELECT event_id, n_clicks, last_click FROM (SELECT event_id, event_type, count(*
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)) WHERE event_type = 'error'"""
 
 
+#: Of a part, orders that are paired with one order in one row.
+PAIRED = 1 << 8
+
+
 def jn24(s, d):
     """How many parts two suppliers of one order have in common with each other's orders: shared parts of order pairs by part."""
-    li = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = li.alias("a"), li.alias("b")
-    return a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey"))).groupBy(F.col("a.l_orderkey").alias("x"), F.col("b.l_orderkey").alias("y")).agg(F.count("*").alias("n_shared"))
+    li = table(s, d, "lineitem")
+    parts = parts_for(li.count())  # of the files' footers
+    li = li.select(F.col("l_partkey").cast("long").alias("part"), F.col("l_orderkey").cast("long").alias("x")).where("part IS NOT NULL AND x IS NOT NULL")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Each order of a part with those after it, as lists; rows come by part and order. A part's orders are held, no pairs are.
+        held, of, size, rows = [], None, 0, []
+
+        def lists(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            for i in range(len(y) - 1):
+                for k in range(i + 1, len(y), PAIRED):
+                    yield int(y[i]), y[k : k + PAIRED]
+
+        def sent(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[1]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[1] for r in rows]), pa.int64()))], names=["x", "ys"])
+
+        def ended(last: bool) -> Iterator[list]:
+            nonlocal rows, size
+            for r in lists(np.concatenate(held)) if held else ():
+                rows.append(r)
+                size += len(r[1])
+                if size >= 1 << 17:
+                    yield rows
+                    rows, size = [], 0
+            if last and rows:
+                yield rows
+
+        for batch in batches:
+            p, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(p):
+                continue
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]):
+                if of != p[a]:
+                    for r in ended(False):
+                        yield sent(r)
+                    held, of = [], p[a]
+                held.append(x[a:b])
+        for r in ended(True):
+            yield sent(r)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come by order; what a batch's last order has waits for the next.
+        x, y = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def counted(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            o = np.lexsort((y, x))
+            x, y = x[o], y[o]
+            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.empty(0, np.int64)
+            n = np.diff(np.r_[first, len(x)])
+            for k in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(v[k : k + (1 << 16)]) for v in (x[first], y[first], n)], names=["x", "y", "n_shared"])
+
+        for batch in batches:
+            ys = batch.column(1)
+            x = np.r_[x, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), ys.value_lengths().to_numpy(zero_copy_only=False))]
+            y = np.r_[y, ys.flatten().to_numpy(zero_copy_only=False)]
+            if len(x) > 1 << 17 and x[0] != x[-1]:
+                k = int(np.searchsorted(x, x[-1]))
+                yield from counted(x[:k], y[:k])
+                x, y = x[k:], y[k:]
+        yield from counted(x, y)
+
+    by_part = li.repartition(parts, "part").distinct().sortWithinPartitions("part", "x")
+    lists = by_part.mapInArrow(pairs, "x long, ys array<long>")
+    # A pair costs 8 bytes here, and an order's pairs meet in one task without a table of them.
+    return lists.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(counts, "x long, y long, n_shared long")
 
 
 JN24_SQL = """

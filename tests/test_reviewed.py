@@ -9,9 +9,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from eventloom.operators import fits, graph, transmit
-from eventloom.plans import analysis, relational
-from eventloom.shared import parts_for
+from eventloom.operators import fits, graph, survive, transmit
+from eventloom.plans import analysis, joins, relational
+from eventloom.shared import materialize, parts_for
 from eventloom.streaming import live
 
 
@@ -102,3 +102,24 @@ def test_streamed_last_writers_hold_groups_of_keys(spark, tmp_path):
     got = live.run_to_files(df, f"writers-{uuid.uuid4().hex}")
     batch = graph.last_writer_edges(spark.createDataFrame(rows, "key long, who long, t long"), "key", "who", "t")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_shared_counts_hold_no_table_of_pairs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(o), int(p)) for o, p in zip(rng.integers(0, 60, 400), rng.integers(0, 12, 400))] + [(o, 99) for o in range(1000, 1300)] + [(None, 1), (1, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(joins, "PAIRED", 7)
+    df = joins.jn24(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(joins.JN24_SQL)
+    assert df.columns == want.columns and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lineage_sends_no_table_to_the_driver(spark):
+    texts = ["a", "a b", "x", "x", "y z", "y", "q", "x"]
+    rel = materialize(survive.relations(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string"), "source", "doc_id", "text"), "relations")
+    lin = survive.lineage(rel)
+    assert "Broadcast" not in lin._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in survive.live_rows(lin)._jdf.queryExecution().executedPlan().toString()
